@@ -187,7 +187,7 @@ def _text_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         anchors = []
         for key, group, text, form_text, wanted in zip(pdf["text_key"], pdf["group_key"], pdf["text"], pdf["form_text"], pdf["wanted"]):
             form, s = (0, canonical(text)) if text is not None else (1, matching_form(canonical(form_text)))
-            for w in wanted if s else ():
+            for w in map(int, wanted) if s else ():
                 if w // 4 == form:
                     found = text_anchors(s, form, w % 4)
                     anchors.append(found)
