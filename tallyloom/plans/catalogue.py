@@ -1,5 +1,7 @@
 """All queries of the core by name, and their SQL."""
 
+from tallyloom.plans import problems
+
 FLAGSHIP = "ir_metrics_by_cell"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = {**problems.QUERIES}
+SQL: dict[str, str] = {**problems.SQL}
