@@ -1,7 +1,8 @@
 """All queries of the core by name, and their SQL."""
 
-from tallyloom.plans import problems
+from tallyloom.plans import logs, problems, retrieval
 
 FLAGSHIP = "ir_metrics_by_cell"
-QUERIES: dict = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems.SQL}
+FAMILIES = (retrieval, logs, problems)
+QUERIES: dict = {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
