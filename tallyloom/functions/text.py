@@ -57,10 +57,19 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once a row; inside a lambda an expression is else computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingles(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by blanks; n tokens or fewer are one shingle, no tokens none."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).when((F.size(tokens) <= n) | F.lit(n <= 1), F.array(F.array_join(tokens, " "))).otherwise(runs)
+
+    def of(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) == 0, F.array().cast("array<string>")).when((F.size(t) <= n) | F.lit(n <= 1), F.array(F.array_join(t, " "))).otherwise(runs)
+
+    return bound(tokens, of)
 
 
 def coverage(part: Column, whole: Column) -> Column:

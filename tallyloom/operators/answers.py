@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.functions.text import coverage, marker_match, refused_by_net, word_tokens
+from tallyloom.functions.text import bound, coverage, marker_match, refused_by_net, word_tokens
 
 
 def refusal_signals(records: DataFrame) -> DataFrame:
@@ -38,15 +38,17 @@ def raw_agreement(pairs: DataFrame, a: str, b: str, by: list[str] | None = None)
 
 def token_overlap(records: DataFrame, key: str, answer: str = "answer_text", gold: str = "gold_answer") -> DataFrame:
     """Token F1 (with multiplicity) and cosine of token sets per record with a gold answer; 0 without overlap."""
-    rows = records.where(F.col(gold).isNotNull()).select(F.col(key).alias("key"), word_tokens(F.coalesce(F.col(answer), F.lit(""))).alias("a"), word_tokens(F.col(gold)).alias("g"))
-    same = F.aggregate(
-        F.array_distinct("g"), F.lit(0),
-        lambda acc, w: acc + F.least(F.size(F.filter("a", lambda x: x == w)), F.size(F.filter("g", lambda x: x == w))),
-    )
-    sets = F.size(F.array_intersect(F.array_distinct("a"), F.array_distinct("g")))
-    f1 = F.when(same > 0, 2.0 * same / (F.size("a") + F.size("g"))).otherwise(F.lit(0.0))
-    cosine = F.when(sets > 0, sets / F.sqrt(F.size(F.array_distinct("a")).cast("double") * F.size(F.array_distinct("g")))).otherwise(F.lit(0.0))
-    return rows.select(F.col("key").alias(key), f1.alias("token_f1"), cosine.alias("token_cosine"))
+    pair = F.struct(word_tokens(F.coalesce(F.col(answer), F.lit(""))).alias("a"), word_tokens(F.col(gold)).alias("g"))
+
+    def scores(p: Column) -> Column:
+        a, g = p["a"], p["g"]
+        same = F.aggregate(F.array_distinct(g), F.lit(0), lambda acc, w: acc + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(g, lambda x: x == w))))
+        both = F.size(F.array_intersect(F.array_distinct(a), F.array_distinct(g)))
+        f1 = F.when(same > 0, 2.0 * same / (F.size(a) + F.size(g))).otherwise(F.lit(0.0))
+        cosine = F.when(both > 0, both / F.sqrt(F.size(F.array_distinct(a)).cast("double") * F.size(F.array_distinct(g)))).otherwise(F.lit(0.0))
+        return F.struct(f1.alias("token_f1"), cosine.alias("token_cosine"))
+
+    return records.where(F.col(gold).isNotNull()).select(key, bound(pair, scores).alias("_s")).select(key, "_s.token_f1", "_s.token_cosine")
 
 
 def overlap_faithfulness(records: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
