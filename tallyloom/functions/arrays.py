@@ -22,7 +22,7 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 
 def bonferroni(p: Column, m: int) -> Column:
-    return F.least(F.lit(1.0), p * m) if m > 0 else p
+    return F.when(p.isNotNull(), F.least(F.lit(1.0), p * m)) if m > 0 else p
 
 
 def json_numbers(c: Column) -> Column:

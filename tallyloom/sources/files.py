@@ -127,8 +127,8 @@ def read_power_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_label_lines(spark: SparkSession, path: str, document: str, page_offset: int = 0) -> DataFrame:
     """Gold quotes of a label file: one image and a JSON list per line; the page is the last number of the image's name."""
     line = F.split("value", "\t", 2)
-    image = F.regexp_replace(line[0], r"^.*[/\\]", "")
-    items = spark.read.text(path).select(F.try_element_at(F.regexp_extract_all(image, F.lit(r"\d+"), F.lit(0)), F.lit(-1)).cast("int").alias("n"), F.posexplode(F.from_json(line[1], LABEL_ITEM)).alias("position", "item"))
+    image = F.regexp_replace(F.get(line, 0), r"^.*[/\\]", "")
+    items = spark.read.text(path).select(F.try_element_at(F.regexp_extract_all(image, F.lit(r"\d+"), F.lit(0)), F.lit(-1)).cast("int").alias("n"), F.posexplode(F.from_json(F.get(line, 1), LABEL_ITEM)).alias("position", "item"))
     kept = items.where("not coalesce(item.difficult, false) and trim(coalesce(item.transcription, '')) <> ''")
     return kept.select(F.lit(document).alias("document_name"), (F.col("n") + page_offset).alias("page_number"), "position", F.col("item.transcription").alias("text"), "item.key_cls", "item.section_id", "item.section_title")
 
