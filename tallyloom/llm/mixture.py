@@ -119,7 +119,7 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 20260) -> tuple[Data
     counted: doc_id, source, tokens. targets: source, target_share, max_repeats, one row per source (checked small:
     one row per source, no documents). Documents of null or untargeted sources get no row, nor do documents not drawn.
     """
-    counted = materialise(counted.where("doc_id is not null and source is not null").dropDuplicates(["doc_id"]))
+    counted = materialise(counted.select("doc_id", "source", "tokens").where("doc_id is not null and source is not null").dropDuplicates(["doc_id"]))
     totals = counted.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("source_tokens"))
     plan = materialise(plan_copies(totals, targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))))
     sizes = plan.where("source_tokens > 0").agg(F.max("n_docs").alias("n")).first()["n"] or 0

@@ -61,7 +61,7 @@ def _sentence_ends(text: str) -> list[int]:
     for m in SENTENCE.finditer(text):
         word = regex.search(r"[\p{L}\p{N}]*$", text[max(0, m.start() - 20) : m.start()]).group()
         stop = text[m.start()] == "."
-        if not (stop and (word.lower() in SHORT_FORMS or len(word) == 1 and word.isalpha())):
+        if not (stop and (word.lower() in SHORT_FORMS or len(word) == 1 and word.isupper())):
             ends.append(m.end())
     return ends
 
