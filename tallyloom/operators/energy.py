@@ -40,43 +40,46 @@ def window_energy(spans: DataFrame, samples: DataFrame, max_gap_s: float = 15.0,
 
     spans(span_id, meter, start_us, end_us), samples(meter, at, watts). A span shorter than the cadence is measured by
     its two held edges; with nothing inside, both are needed. Unmeasured spans keep their row with null energy.
-    Spans list the buckets of time they touch (padded by the gap) and meet the samples by equality on (meter, bucket).
+    Spans list the buckets of time they touch (padded by the gap) and meet the samples by equality on (meter, bucket);
+    each sample already knows the one after it, so a span is a sum over its samples and no list of them is ever built.
     """
     bucket = 60_000_000
     pad = int(max_gap_s * 1_000_000)
+    lifted = lambda w: F.greatest(w - F.lit(idle_w), F.lit(0.0))
+    clean = samples.where("at is not null and watts is not null and not isnan(watts)").select("meter", "at", lifted(F.col("watts")).alias("watts"))
+    linked = next_rows(clean, ["meter"], "at", ["watts"], bucket=3_600_000_000).withColumn("_b", F.floor(F.col("at") / bucket))
     reach = spans.withColumn("_b", F.explode(F.sequence(F.floor((F.col("start_us") - pad) / bucket), F.floor((F.col("end_us") + pad) / bucket))))
-    met = reach.join(samples.where("at is not null and watts is not null and not isnan(watts)").withColumn("_b", F.floor(F.col("at") / bucket)), ["meter", "_b"]).where((F.col("at") >= F.col("start_us") - pad) & (F.col("at") <= F.col("end_us") + pad))
+    met = reach.join(linked, ["meter", "_b"]).where((F.col("at") >= F.col("start_us") - pad) & (F.col("at") <= F.col("end_us") + pad))
     inside = (F.col("at") >= F.col("start_us")) & (F.col("at") <= F.col("end_us"))
+    step = (F.col("next_at") - F.col("at")) / 1e6
+    pair = inside & (F.col("next_at") <= F.col("end_us"))
     point = F.struct("at", "watts")
     per = met.groupBy("span_id").agg(
-        F.array_sort(F.collect_list(F.when(inside, point))).alias("inside"),
-        F.max(F.when(F.col("at") < F.col("start_us"), point)).alias("before"),
-        F.min(F.when(F.col("at") > F.col("end_us"), point)).alias("after"),
-    )
-    joined = spans.join(per, "span_id", "left")
-    edge = lambda at, w: F.array(F.struct(F.col(at).alias("at"), w.alias("watts")))
-    none = F.slice(F.array(F.struct(F.col("start_us").alias("at"), F.lit(0.0).alias("watts"))), 1, 0)
-    own = F.coalesce("inside", none)
-    points = F.concat(F.when(F.col("before").isNotNull(), edge("start_us", F.col("before.watts"))).otherwise(none), own, F.when(F.col("after").isNotNull(), edge("end_us", F.col("after.watts"))).otherwise(none))
-    lifted = lambda w: F.greatest(w - F.lit(idle_w), F.lit(0.0))
-    walked = F.aggregate(
-        F.col("points"),
-        F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("double").alias("w"), F.lit(0.0).alias("j"), F.lit(0.0).alias("c"), F.lit(0).alias("gaps"), F.lit(0.0).alias("gap_s")),
-        lambda acc, p: F.struct(
-            p["at"].alias("at"), lifted(p["watts"]).alias("w"),
-            (acc["j"] + F.when((p["at"] > acc["at"]) & ((p["at"] - acc["at"]) / 1e6 <= max_gap_s), 0.5 * (acc["w"] + lifted(p["watts"])) * (p["at"] - acc["at"]) / 1e6).otherwise(F.lit(0.0))).alias("j"),
-            (acc["c"] + F.when((p["at"] > acc["at"]) & ((p["at"] - acc["at"]) / 1e6 <= max_gap_s), (p["at"] - acc["at"]) / 1e6).otherwise(F.lit(0.0))).alias("c"),
-            (acc["gaps"] + F.when((p["at"] - acc["at"]) / 1e6 > max_gap_s, 1).otherwise(0)).alias("gaps"),
-            (acc["gap_s"] + F.when((p["at"] - acc["at"]) / 1e6 > max_gap_s, (p["at"] - acc["at"]) / 1e6).otherwise(F.lit(0.0))).alias("gap_s"),
-        ),
+        F.count_if(inside).alias("n_inside"),
+        F.sum(F.when(pair & (step > 0) & (step <= max_gap_s), 0.5 * (F.col("watts") + F.col("next_watts")) * step)).alias("j"),
+        F.sum(F.when(pair & (step > 0) & (step <= max_gap_s), step)).alias("c"),
+        F.count_if(pair & (step > max_gap_s)).alias("g"),
+        F.max(F.when(inside, F.col("watts"))).alias("top"),
+        F.min(F.when(inside, point)).alias("first"), F.max(F.when(inside, point)).alias("last"),
+        F.max(F.when(F.col("at") < F.col("start_us"), point)).alias("before"), F.min(F.when(F.col("at") > F.col("end_us"), point)).alias("after"),
     )
-    shaped = joined.withColumns({"points": points, "n_inside": F.size(own), "edges": F.col("before").isNotNull().cast("int") + F.col("after").isNotNull().cast("int")}).withColumn("sum", walked)
-    enough = (F.col("sum.c") > 0) & ((F.col("n_inside") > 0) | (F.col("edges") == 2))
-    peak = F.array_max(F.transform(F.when(F.col("n_inside") > 0, own).otherwise(F.col("points")), lambda p: lifted(p["watts"])))
-    return shaped.select(
-        *[c for c in spans.columns], F.col("n_inside").alias("samples"), "edges",
-        F.when(enough, F.round(F.col("sum.j") / 3600, 6)).alias("energy_wh"), F.when(enough, F.round("sum.c", 3)).otherwise(F.lit(0.0)).alias("covered_s"),
-        F.when(enough, F.round(F.col("sum.j") / F.col("sum.c"), 3)).alias("mean_w"), F.when(enough, F.round(peak, 3)).alias("peak_w"), F.when(enough, F.col("sum.gaps")).otherwise(0).alias("gaps"),
+    joined = spans.join(per, "span_id", "left").withColumns({"n_inside": F.coalesce("n_inside", F.lit(0)), "edges": F.col("before").isNotNull().cast("int") + F.col("after").isNotNull().cast("int")})
+    # Up to two more trapezoids: from the held start to the first sample, and from the last one to the held end.
+    alone = F.col("n_inside") == 0
+    lead_t = F.when(alone & (F.col("edges") == 2), (F.col("end_us") - F.col("start_us")) / 1e6).when(~alone & F.col("before").isNotNull(), (F.col("first.at") - F.col("start_us")) / 1e6)
+    lead_w = F.when(alone, F.col("before.watts") + F.col("after.watts")).otherwise(F.col("before.watts") + F.col("first.watts"))
+    tail_t = F.when(~alone & F.col("after").isNotNull(), (F.col("end_us") - F.col("last.at")) / 1e6)
+    ok = lambda t: (t > 0) & (t <= max_gap_s)
+    zero = F.lit(0.0)
+    joules = F.coalesce("j", zero) + F.when(ok(lead_t), 0.5 * lead_w * lead_t).otherwise(zero) + F.when(ok(tail_t), 0.5 * (F.col("last.watts") + F.col("after.watts")) * tail_t).otherwise(zero)
+    covered = F.coalesce("c", zero) + F.when(ok(lead_t), lead_t).otherwise(zero) + F.when(ok(tail_t), tail_t).otherwise(zero)
+    gaps = F.coalesce("g", F.lit(0)) + F.coalesce((lead_t > max_gap_s).cast("int"), F.lit(0)) + F.coalesce((tail_t > max_gap_s).cast("int"), F.lit(0))
+    summed = joined.select(*spans.columns, F.col("n_inside").alias("samples"), "edges", joules.alias("_j"), covered.alias("_c"), gaps.alias("_g"), F.coalesce("top", F.greatest("before.watts", "after.watts")).alias("_top"))
+    enough = (F.col("_c") > 0) & ((F.col("samples") > 0) | (F.col("edges") == 2))
+    return summed.select(
+        *spans.columns, "samples", "edges",
+        F.when(enough, F.round(F.col("_j") / 3600, 6)).alias("energy_wh"), F.when(enough, F.round("_c", 3)).otherwise(zero).alias("covered_s"),
+        F.when(enough, F.round(F.col("_j") / F.col("_c"), 3)).alias("mean_w"), F.when(enough, F.round("_top", 3)).alias("peak_w"), F.when(enough, F.col("_g")).otherwise(F.lit(0)).alias("gaps"),
     )
 
 

@@ -17,31 +17,49 @@ def prepared(df: DataFrame, key: str, document: str, text: str) -> DataFrame:
     return norm.withColumn("grams", F.array_distinct(shingles(blank_tokens(F.col("norm")), SHINGLE)))
 
 
-def _shared(mine: DataFrame, theirs: DataFrame, unit: str) -> DataFrame:
-    """(evidence_id, chunk_id, n): how many distinct units both hold, by equality on (document, unit)."""
-    left = mine.select(F.col("key").alias("evidence_id"), "document", F.explode(unit).alias("unit"))
-    right = theirs.select(F.col("key").alias("chunk_id"), "document", F.explode(unit).alias("unit"))
-    return left.join(right, ["document", "unit"]).groupBy("evidence_id", "chunk_id").agg(F.count("*").alias("n"))
+def _rarest(quotes: DataFrame, chunks: DataFrame, unit: str, keep) -> DataFrame:
+    """(evidence_id, document, unit): of each quote's units the `keep` ones that fewest chunks of its document hold."""
+    seen = chunks.select("document", F.explode(unit).alias("unit")).groupBy("document", "unit").agg(F.count("*").alias("df"))
+    mine = quotes.select(F.col("key").alias("evidence_id"), "document", keep.alias("keep"), F.explode(unit).alias("unit"))
+    known = mine.join(seen, ["document", "unit"], "left").select("evidence_id", "document", "keep", "unit", F.coalesce("df", F.lit(0)).alias("df"))
+    order = Window.partitionBy("evidence_id", "document").orderBy("df", "unit")
+    return known.withColumn("n", F.row_number().over(order)).where("n <= keep and df > 0").select("evidence_id", "document", "unit")
 
 
 def match_quotes(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """(evidence_id, chunk_id, score, method): containment scores 1; else shingle coverage of at least 0.6 for quotes of five
     tokens or more; else token coverage of at least 0.9 for shorter ones.
 
-    evidence and chunks come from `prepared`. Candidates meet on shared shingles or tokens of the same document and never
-    as all pairs of a document; containment is verified on the texts of candidates alone.
+    evidence and chunks come from `prepared`. A chunk that covers a share c of a quote's units holds at least one of any
+    (1 - c) n + 1 of them, so only that many of the quote's rarest units are looked up; a contained quote is found by its
+    rarest token that no edge can cut. Candidates are verified on the texts. Quotes of one or two tokens count as
+    contained only where they share a token.
     """
-    quotes = evidence.withColumn("tokens", F.array_distinct(blank_tokens(F.col("norm")))).withColumn("long", F.size(blank_tokens(F.col("norm"))) >= SHINGLE)
-    pool = chunks.withColumn("tokens", F.array_distinct(blank_tokens(F.col("norm"))))
-    by_gram = _shared(quotes.where("long"), pool, "grams").withColumn("kind", F.lit("shingle"))
-    by_token = _shared(quotes.where("not long"), pool.join(quotes.where("not long").select("document").distinct(), "document", "left_semi"), "tokens").withColumn("kind", F.lit("token"))
-    met = by_gram.unionByName(by_token).join(quotes.select(F.col("key").alias("evidence_id"), F.col("norm").alias("quote"), F.size("grams").alias("n_grams"), F.size("tokens").alias("n_tokens")), "evidence_id")
-    cover = F.when(F.col("kind") == "shingle", F.col("n") / F.col("n_grams")).otherwise(F.col("n") / F.col("n_tokens"))
-    scored = met.withColumn("cover", cover).where((F.col("cover") >= SHINGLE_COVERAGE) | F.col("kind").eqNullSafe("token"))
-    texts = pool.select(F.col("key").alias("chunk_id"), F.col("norm").alias("chunk_norm"))
-    checked = scored.join(texts, "chunk_id").withColumn("inside", F.contains("chunk_norm", "quote"))
-    keep = F.col("inside") | ((F.col("kind") == "shingle") & (F.col("cover") >= SHINGLE_COVERAGE)) | ((F.col("kind") == "token") & (F.col("cover") >= TOKEN_COVERAGE))
-    return checked.where(keep).select("evidence_id", "chunk_id", F.when(F.col("inside"), 1.0).otherwise(F.round("cover", 6)).alias("score"), F.when(F.col("inside"), "containment").otherwise(F.col("kind")).alias("method"))
+    tokens = blank_tokens(F.col("norm"))
+    quotes = evidence.withColumns({"tokens": F.array_distinct(tokens), "n_words": F.size(tokens), "inner": F.array_distinct(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))})
+    pool = chunks.withColumn("tokens", F.array_distinct(tokens))
+    long, short = quotes.where(F.col("n_words") >= SHINGLE), quotes.where(F.col("n_words") < SHINGLE)
+    enough = lambda unit, share: (F.floor(F.size(unit) * (1 - share) + 1e-9) + 1).cast("int")
+    inner = quotes.where("n_words >= 3").drop("tokens").withColumnRenamed("inner", "tokens")
+    keys = {
+        "grams": _rarest(long, pool, "grams", enough("grams", SHINGLE_COVERAGE)),
+        "tokens": _rarest(short, pool, "tokens", enough("tokens", TOKEN_COVERAGE)).unionByName(_rarest(quotes.where("n_words < 3"), pool, "tokens", F.lit(2))).unionByName(_rarest(inner, pool, "tokens", F.lit(1))),
+    }
+    met = None
+    for unit, wanted in keys.items():
+        held = pool.join(wanted.select("document").distinct(), "document", "left_semi").select(F.col("key").alias("chunk_id"), "document", F.explode(unit).alias("unit"))
+        pairs = wanted.join(held, ["document", "unit"]).select("evidence_id", "chunk_id")
+        met = pairs if met is None else met.unionByName(pairs)
+    full = met.distinct().join(quotes.select(F.col("key").alias("evidence_id"), F.col("document").alias("quote_document"), F.col("norm").alias("quote"), "n_words", F.col("grams").alias("quote_grams"), F.col("tokens").alias("quote_tokens")), "evidence_id")
+    full = full.join(pool.select(F.col("key").alias("chunk_id"), "document", "norm", "grams", "tokens"), "chunk_id").where("document = quote_document")
+    share = lambda mine, theirs: F.size(F.array_intersect(mine, theirs)) / F.size(mine)
+    is_long = F.col("n_words") >= SHINGLE
+    inside = F.contains("norm", "quote") & ((F.col("n_words") >= 3) | F.arrays_overlap("quote_tokens", "tokens"))
+    cover = F.when(is_long, share("quote_grams", "grams")).otherwise(share("quote_tokens", "tokens"))
+    least = F.when(is_long, SHINGLE_COVERAGE).otherwise(TOKEN_COVERAGE)
+    judged = full.select("evidence_id", "chunk_id", inside.alias("inside"), cover.alias("cover"), is_long.alias("long"), least.alias("least")).where("inside or cover >= least")
+    best = judged.groupBy("evidence_id", "chunk_id").agg(F.max(F.struct("inside", "cover", "long")).alias("b"))
+    return best.select("evidence_id", "chunk_id", F.when(F.col("b.inside"), 1.0).otherwise(F.round("b.cover", 6)).alias("score"), F.when(F.col("b.inside"), "containment").when(F.col("b.long"), "shingle").otherwise("token").alias("method"))
 
 
 def ranked_matches(matches: DataFrame, places: DataFrame, most: int | None = None, margin: float | None = None) -> DataFrame:

@@ -148,14 +148,14 @@ _MATCHES = rf"""
     eg AS (SELECT *, list_distinct(CASE WHEN len(toks) <= 5 THEN [norm] ELSE list_transform(range(1, len(toks) - 3), lambda i: array_to_string(toks[i:i + 4], ' ')) END) AS grams FROM ev),
     cg AS (SELECT *, list_distinct(CASE WHEN len(toks) <= 5 THEN [norm] ELSE list_transform(range(1, len(toks) - 3), lambda i: array_to_string(toks[i:i + 4], ' ')) END) AS grams FROM ch),
     p AS (
-        SELECT evidence_id, chunk_id, contains(cg.norm, eg.norm) AS inside, len(eg.toks) >= 5 AS long,
+        SELECT evidence_id, chunk_id, contains(cg.norm, eg.norm) AS inside, len(eg.toks) >= 5 AS long, len(eg.toks) AS words,
                len(list_intersect(eg.grams, cg.grams)) / len(eg.grams) AS gram_cover, len(list_intersect(list_distinct(eg.toks), cg.toks)) / len(list_distinct(eg.toks)) AS token_cover
         FROM eg JOIN cg USING (document)),
     matches AS (
         SELECT evidence_id, chunk_id, CASE WHEN inside THEN 1.0 ELSE round(CASE WHEN long THEN gram_cover ELSE token_cover END, 6) END AS score,
                CASE WHEN inside THEN 'containment' WHEN long THEN 'shingle' ELSE 'token' END AS method
         FROM p
-        WHERE (long AND gram_cover >= 0.6) OR (NOT long AND (token_cover >= 0.9 OR (inside AND token_cover > 0))))"""
+        WHERE inside AND (words >= 3 OR token_cover > 0) OR (long AND gram_cover >= 0.6) OR (NOT long AND token_cover >= 0.9))"""
 
 SQL = {
     "ir_metrics_by_cell": f"WITH {_ranked_sql(5)}, {_METRICS} SELECT query_label AS cell, count(*) AS n, round(avg(recall), 6) AS recall_at_5, round(avg(mrr), 6) AS mrr_at_5, round(avg(ndcg), 6) AS ndcg_at_5, round(avg(hit), 6) AS hit_at_5 FROM scored GROUP BY 1",
