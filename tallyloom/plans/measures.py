@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.arrays import parse_watts, utilisation_watts
-from tallyloom.operators import energy, grid, ingest
+from tallyloom.operators import context, energy, grid, ingest
 from tallyloom.plans.problems import READINGS
 from tallyloom.session import checkpoint_dir, load
 
@@ -44,6 +44,13 @@ def energy_by_cell(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("cell").agg(F.count("*").alias("spans"), F.count("energy_wh").alias("measured"), F.round(F.sum("covered_s"), 2).alias("covered_s"), F.round(F.sum(F.round("energy_wh", 5)), 4).alias("energy_wh"))
 
 
+def cell_power(spark: SparkSession, d: str) -> DataFrame:
+    """Mean power per cell behind a coverage gate, with a nameplate to fall back on."""
+    samples = _samples(spark, d).where("device = 'meter-04'").groupBy(F.col("device").alias("meter"), "at").agg(F.max("watts").alias("watts"))
+    per = energy.window_energy(_spans(spark, d), samples, max_gap_s=30.0).withColumn("span_s", (F.col("end_us") - F.col("start_us")) / 1e6)
+    return context.gated_power(per, "cell", "span_s", "covered_s", "energy_wh", nameplate_w=65.0)
+
+
 def serving_spans(spark: SparkSession, d: str) -> DataFrame:
     r = load(spark, d, "query_records").where("linked").select("record_id", "cell_name", "run_id", "answered_at", "latency_ms", "retrieval_latency_ms", "rerank_latency_ms").distinct()
     s = energy.answer_spans(r, ["latency_ms", "retrieval_latency_ms", "rerank_latency_ms"], ceiling_ms=600_000)
@@ -120,7 +127,7 @@ def stream_power_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        power_trapezoid, power_by_device, energy_by_span, energy_by_cell, serving_spans, warm_only, constant_series, utilisation, ingest_span_lifecycle, ingest_span_chunks, ingest_span_first_touch,
+        power_trapezoid, power_by_device, energy_by_span, energy_by_cell, cell_power, serving_spans, warm_only, constant_series, utilisation, ingest_span_lifecycle, ingest_span_chunks, ingest_span_first_touch,
         ingest_token_estimate, ingest_token_counts, latest_builds, build_policies, measured_or_declared, stream_power_windows,
     )
 }
@@ -167,6 +174,9 @@ SQL = {
     "power_by_device": f"WITH {READINGS} SELECT device, count(*) AS samples, round(avg(watts), 6) AS mean_w, max(watts) AS peak_w, count(DISTINCT tag) AS sittings FROM usable GROUP BY 1",
     "energy_by_span": f"WITH {_ENERGY} SELECT span_id, samples, edges, energy_wh, covered_s FROM res",
     "energy_by_cell": f"WITH {_ENERGY} SELECT cell, count(*) AS spans, count(energy_wh) AS measured, round(sum(covered_s), 2) AS covered_s, round(sum(energy_wh), 4) AS energy_wh FROM res GROUP BY 1",
+    "cell_power": f"""
+        WITH {_ENERGY}, q AS (SELECT r.cell, count(*) AS n, sum((end_us - start_us) / 1e6) AS s, sum(covered_s) AS c, sum(CASE WHEN energy_wh IS NOT NULL THEN round(j / 3600, 6) END) AS e FROM res r JOIN spans USING (span_id) LEFT JOIN tot USING (span_id) GROUP BY 1)
+        SELECT cell, n, round(s, 3) AS span_s, round(c / s, 4) AS coverage, round(CASE WHEN c / s >= 0.8 AND c > 0 THEN e * 3600 / c ELSE 65.0 END, 3) AS mean_w, CASE WHEN c / s >= 0.8 AND c > 0 THEN 'measured' ELSE 'upper bound' END AS kind FROM q""",
     "serving_spans": f"""
         WITH {_R}, s AS (SELECT cell_name, run_id, epoch_us(answered_at) AS e, least(greatest(CASE WHEN latency_ms >= 0 THEN latency_ms ELSE 0 END + CASE WHEN retrieval_latency_ms >= 0 THEN retrieval_latency_ms ELSE 0 END + CASE WHEN rerank_latency_ms >= 0 THEN rerank_latency_ms ELSE 0 END, 1), 600000) AS ms FROM r WHERE answered_at IS NOT NULL)
         SELECT cell_name, run_id, count(*) AS n, round(sum(ms / 1e3), 3) AS seconds, min(e - ms * 1000) AS first_us, max(e) AS last_us FROM s GROUP BY 1, 2""",

@@ -110,11 +110,30 @@ def page_relevance(spark: SparkSession, d: str) -> DataFrame:
     return scored.agg(F.count("*").alias("documents"), *(F.round(F.avg(m), 6).alias(m) for m in ("recall", "mrr", "ndcg", "hit")))
 
 
+def served_context(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of each building's file as a served list, rendered as one text, by length and hash."""
+    from tallyloom.operators.context import rendered_context
+
+    c = load(spark, d, "chunk_rows").where("text is not null").select("chunk_id", "document_name", "page_number", "chunk_index", "text").distinct()
+    shown = rendered_context(c.withColumn("at", F.struct("chunk_index", "chunk_id")), "document_name", "at", "document_name", "page_number", "text")
+    return shown.select("message_id", "n_passages", F.length("context").alias("chars"), F.md5("context").alias("digest"))
+
+
+def documents_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Quoted document names found among the chunked ones, by each rule of matching."""
+    from tallyloom.operators.context import basename, name_matches
+
+    wanted = load(spark, d, "gold_evidence").where("document_name is not null").select(F.concat(F.lit("files/"), F.upper("document_name")).alias("wanted")).distinct()
+    names = load(spark, d, "chunk_rows").select(F.col("document_name").alias("name")).distinct()
+    met = wanted.withColumn("k", F.lower(basename(F.col("wanted")))).join(names.withColumn("k", F.lower(basename(F.col("name")))), "k")
+    return met.agg(*(F.count_if(name_matches(F.col("name"), F.col("wanted"), how)).alias(how) for how in ("exact", "casefold", "basename")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ir_metrics_by_cell, context_metrics, similarity_top_k, unit_vectors, served_pool_summary, right_version_by_order, served_rank, gold_match, gold_match_ranked,
-        gold_match_summary, gold_chunks_per_document, page_relevance,
+        gold_match_summary, gold_chunks_per_document, page_relevance, served_context, documents_by_name,
     )
 }
 
@@ -193,4 +212,12 @@ SQL = {
         ranked AS (SELECT c.document AS query_id, row_number() OVER (PARTITION BY c.document ORDER BY chunk_index, chunk_id) AS rank, (g.page IS NOT NULL)::INT AS rel FROM c LEFT JOIN g ON c.document = g.document AND c.page = g.page),
         relevant AS (SELECT query_id, sum(rel) AS n_relevant FROM ranked GROUP BY 1), {_METRICS}
         SELECT count(*) AS documents, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(hit), 6) AS hit FROM scored""",
+    "served_context": r"""
+        WITH c AS (SELECT DISTINCT chunk_id, document_name, page_number, chunk_index, text FROM chunk_rows WHERE text IS NOT NULL),
+        p AS (SELECT document_name, chunk_index, chunk_id, CASE WHEN page_number IS NOT NULL THEN 'Page ' || page_number || ': ' ELSE '' END || text AS t FROM c),
+        g AS (SELECT document_name, count(*) AS n, 'Document: ' || document_name || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY chunk_index, chunk_id) AS x FROM p GROUP BY 1)
+        SELECT document_name AS message_id, n AS n_passages, length(x) AS chars, md5(x) AS digest FROM g""",
+    "documents_by_name": """
+        WITH w AS (SELECT DISTINCT 'files/' || upper(document_name) AS wanted FROM gold_evidence WHERE document_name IS NOT NULL), n AS (SELECT DISTINCT document_name AS name FROM chunk_rows)
+        SELECT count(*) FILTER (name = wanted) AS "exact", count(*) FILTER (lower(name) = lower(wanted)) AS casefold, count(*) AS basename FROM w JOIN n ON lower(regexp_replace(wanted, '^.*/', '')) = lower(regexp_replace(name, '^.*/', ''))""",
 }

@@ -53,3 +53,22 @@ def test_numbers(spark):
     assert one(spark, '{"k": "x"}', lambda c: A.json_count(c, "$.k")) is None
     assert one(spark, "GPU 12.5 W, CPU 7.5 W", A.parse_watts) == 20.0
     assert one(spark, 0.02, lambda c: A.bonferroni(c, 3), "double") == 0.06 and one(spark, None, lambda c: A.bonferroni(c, 3), "double") is None
+
+
+def test_hooks(spark):
+    from tallyloom.functions import hooks
+
+    df = spark.createDataFrame([(1, "red door"), (2, None), (3, "")], "id int, t string")
+    got = {r.id: r for r in df.select("id", hooks.embedding_udf()("t").alias("v"), hooks.token_count_udf(specials=2)("t").alias("n")).collect()}
+    assert abs(sum(x * x for x in got[1].v) - 1) < 1e-5 and got[2].v is None and set(got[3].v) == {0.0}
+    assert [got[i].n for i in (1, 2, 3)] == [4, 0, 0]
+
+
+def test_context(spark):
+    from tallyloom.operators.context import name_matches, rendered_context
+
+    df = spark.createDataFrame([("m", 1, "A", 3, "two"), ("m", 0, "A", None, "one"), ("m", 2, "B", 1, None)], "m string, r int, d string, p int, t string")
+    assert rendered_context(df, "m", "r", "d", "p", "t").first().context == "Document: A\none\n\nPage 3: two\n\nDocument: B\nPage 1: "
+    names = spark.createDataFrame([("x/A.pdf", "a.PDF")], "n string, w string")
+    got = names.select(*(name_matches(F.col("n"), F.col("w"), how) for how in ("exact", "casefold", "basename", "contains"))).first()
+    assert list(got) == [False, False, True, True]
