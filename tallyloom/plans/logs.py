@@ -179,9 +179,9 @@ SQL = {
     "served_documents": "SELECT DISTINCT cell_name, governing_doc AS document_name FROM query_records WHERE linked AND trim(coalesce(governing_doc, '')) <> ''",
     "documents_with_chunk_counts": """
         WITH docs AS (SELECT DISTINCT governing_doc AS document_name FROM query_records WHERE governing_doc IS NOT NULL), c AS (SELECT DISTINCT chunk_id, document_name, length(coalesce(text, normalised)) AS n FROM chunk_rows)
-        SELECT document_name, count(chunk_id) AS n_chunks, coalesce(sum(n), 0) AS chars FROM docs LEFT JOIN c USING (document_name) GROUP BY 1""",
+        SELECT document_name, count(chunk_id) AS n_chunks, coalesce(sum(n), 0)::BIGINT AS chars FROM docs LEFT JOIN c USING (document_name) GROUP BY 1""",
     "shared_and_missing_queries": """
         WITH q AS (SELECT query_id, bool_or(cell_name = 'control') AS a, bool_or(cell_name = 'combined') AS b FROM query_records WHERE linked AND query_id IS NOT NULL GROUP BY 1)
         SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'control_only' ELSE 'combined_only' END AS part, count(*) AS n FROM q WHERE a OR b GROUP BY 1""",
-    "event_properties": "SELECT event_type, count(k) AS n_with_k, sum(k) AS sum_k, count(DISTINCT k) AS distinct_k FROM (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1",
+    "event_properties": "SELECT event_type, count(k) AS n_with_k, sum(k)::BIGINT AS sum_k, count(DISTINCT k) AS distinct_k FROM (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1",
 }

@@ -144,7 +144,7 @@ _ENERGY = f"""
     tot AS (
         SELECT span_id, sum(inside) AS samples, count(*) - sum(inside) AS edges, coalesce(sum(CASE WHEN t > t0 AND (t - t0) / 1e6 <= 30 THEN 0.5 * (w + w0) * (t - t0) / 1e6 END), 0) AS j, coalesce(sum(CASE WHEN t > t0 AND (t - t0) / 1e6 <= 30 THEN (t - t0) / 1e6 END), 0) AS c FROM prs GROUP BY 1),
     res AS (
-        SELECT span_id, cell, coalesce(samples, 0) AS samples, coalesce(edges, 0) AS edges, CASE WHEN c > 0 AND (samples > 0 OR edges = 2) THEN round(round(j / 3600, 6), 5) END AS energy_wh, CASE WHEN c > 0 AND (samples > 0 OR edges = 2) THEN round(c, 3) ELSE 0.0 END AS covered_s
+        SELECT span_id, cell, coalesce(samples, 0)::BIGINT AS samples, coalesce(edges, 0)::INT AS edges, CASE WHEN c > 0 AND (samples > 0 OR edges = 2) THEN round(round(j / 3600, 6), 5) END AS energy_wh, CASE WHEN c > 0 AND (samples > 0 OR edges = 2) THEN round(c, 3) ELSE 0.0 END AS covered_s
         FROM spans LEFT JOIN tot USING (span_id))"""
 _R = "r AS (SELECT DISTINCT * EXCLUDE (logged_at) FROM query_records WHERE linked)"
 _LIFE = """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyloom.functions.arrays import dot, l2_normalised
 from tallyloom.operators import quotes, ranking
@@ -101,11 +102,11 @@ def page_relevance(spark: SparkSession, d: str) -> DataFrame:
     """Chunks in document order scored against the pages that gold quotes name."""
     chunks = load(spark, d, "chunk_rows").where("page_number is not null").groupBy("chunk_id").agg(F.min("document_name").alias("document"), F.min("page_number").alias("page_start"), F.min("chunk_index").alias("chunk_index")).withColumn("page_end", F.col("page_start"))
     gold = load(spark, d, "gold_evidence").where("page_number is not null").select(F.col("document_name").alias("document"), F.col("page_number").alias("page")).distinct()
-    hits = ranking.page_relevant(chunks, gold).select("chunk_id").withColumn("rel", F.lit(1))
-    from pyspark.sql.window import Window
-
-    ranked = chunks.withColumn("rank", F.row_number().over(Window.partitionBy("document").orderBy("chunk_index", "chunk_id"))).join(hits, "chunk_id", "left").select(F.col("document").alias("query_id"), "rank", F.coalesce("rel", F.lit(0)).alias("rel"))
-    relevant = ranked.groupBy("query_id").agg(F.sum("rel").alias("n_relevant"))
+    hits = ranking.page_relevant(chunks, gold).select("chunk_id", "document").withColumn("rel", F.lit(1))
+    relevant = hits.groupBy(F.col("document").alias("query_id")).agg(F.count("*").alias("n_relevant"))
+    # Only the first K of a document are kept, already before its chunks are shuffled.
+    top = chunks.withColumn("rank", F.row_number().over(Window.partitionBy("document").orderBy("chunk_index", "chunk_id"))).where(F.col("rank") <= K)
+    ranked = top.join(hits.select("chunk_id", "rel"), "chunk_id", "left").select(F.col("document").alias("query_id"), "rank", F.coalesce("rel", F.lit(0)).alias("rel"))
     scored = ranking.metrics_at_k(ranked, relevant, K)
     return scored.agg(F.count("*").alias("documents"), *(F.round(F.avg(m), 6).alias(m) for m in ("recall", "mrr", "ndcg", "hit")))
 
@@ -185,7 +186,7 @@ SQL = {
         SELECT query_id, round(coalesce(ap / nullif(hits, 0), 0), 6) AS context_precision, round(coalesce(hits, 0) / n_relevant, 6) AS context_recall, round(rl, 6) AS context_relevancy, first_hit_rank
         FROM relevant LEFT JOIN per USING (query_id) WHERE n_relevant > 0""",
     "similarity_top_k": f"WITH {_ranked_sql(50)} SELECT query_id, chunk_id, round(sim, 6) AS sim, rank FROM ranked",
-    "unit_vectors": "SELECT vec_id, 1.0 AS norm, len(embedding) AS dims FROM embeddings",
+    "unit_vectors": "SELECT vec_id, 1.0::DOUBLE AS norm, len(embedding) AS dims FROM embeddings",
     "served_pool_summary": """
         WITH r AS (SELECT DISTINCT record_id, cell_name, linked, top_n, top_k FROM query_records WHERE linked),
         h AS (SELECT cell_name, string_agg(top_n || ':' || n, ' ' ORDER BY top_n) AS top_n_values FROM (SELECT cell_name, top_n, count(*) AS n FROM r WHERE top_n IS NOT NULL GROUP BY 1, 2) GROUP BY 1)

@@ -176,7 +176,7 @@ SQL = {
     "token_totals": f"""
         WITH {_R}, x AS (
             SELECT cell_name, count(*) AS n_answers, count(*) FILTER (tokens_input IS NOT NULL AND tokens_output IS NOT NULL) AS n_split, count(*) FILTER ((tokens_input IS NULL OR tokens_output IS NULL) AND tokens_total IS NOT NULL) AS n_total_only,
-                   sum(tokens_input) FILTER (tokens_output IS NOT NULL) AS tokens_in, sum(tokens_output) FILTER (tokens_input IS NOT NULL) AS tokens_out,
+                   sum(tokens_input) FILTER (tokens_output IS NOT NULL)::BIGINT AS tokens_in, sum(tokens_output) FILTER (tokens_input IS NOT NULL)::BIGINT AS tokens_out,
                    coalesce(string_agg(DISTINCT provider, ',' ORDER BY provider), '') AS providers, coalesce(string_agg(DISTINCT model, ',' ORDER BY model), '') AS models FROM r WHERE linked GROUP BY 1)
         SELECT *, round(n_split / n_answers, 4) AS coverage, CASE WHEN n_split / n_answers >= 0.8 THEN round(tokens_in / n_split, 6) END AS mean_in, CASE WHEN n_split / n_answers >= 0.8 THEN round(tokens_out / n_split, 6) END AS mean_out FROM x""",
     "provider_overview": f"WITH {_R} SELECT cell_name, count(*) AS completions, coalesce(string_agg(DISTINCT provider, ',' ORDER BY provider), '') AS providers, coalesce(bool_and(provider = 'ollama'), false) AS local_only FROM r WHERE linked GROUP BY 1",
