@@ -69,7 +69,7 @@ def _quick_check_fails(ch: str) -> bool:
 
 @lru_cache(maxsize=1)
 def unstable_pattern() -> re.Pattern:
-    """Matches every run of characters that fail the quick check, with one stable character before it."""
+    """Matches every run of characters that fail the quick check."""
     runs: list[list[int]] = []
     for cp in [*range(0x00, 0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200)]:
         if _quick_check_fails(chr(cp)):
@@ -78,7 +78,7 @@ def unstable_pattern() -> re.Pattern:
             else:
                 runs.append([cp, cp])
     inside = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
-    return re.compile(f"[^{inside}]?[{inside}]+")
+    return re.compile(f"[{inside}]+")
 
 
 @lru_cache(maxsize=200_000)
@@ -93,14 +93,21 @@ def canonical(text: str | None) -> str | None:
     """
     if text is None:
         return None
-    if not text.isascii() or unstable_pattern().search(text):
-        text = unstable_pattern().sub(lambda m: _canon_segment(m.group()), text)
-    text = text.casefold()
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-    return " ".join(text.split(" ")) if "  " not in text and text[:1] != " " and text[-1:] != " " else " ".join(x for x in text.split(" ") if x)
-
-
+    if text.isascii():
+        if _ASCII_CONTROLS.search(text):
+            text = _ASCII_CONTROLS.sub("", text)
+        return " ".join(text.split()).lower()
+    parts, done = [], 0
+    for m in unstable_pattern().finditer(text):
+        start = max(done, m.start() - 1)  # one stable character before the run, for marks to join
+        parts += (text[done:start], _canon_segment(text[start : m.end()]))
+        done = m.end()
+    parts.append(text[done:])
+    return " ".join(x for x in unicodedata.normalize("NFC", "".join(parts).casefold()).split(" ") if x)
+
+
+#: What is invisible among the plain characters; those that separate words are blanks.
+_ASCII_CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]+")
 _OUTSIDE_FORM = regex.compile(r"[^\p{L}\p{M}\p{N}./%:]+")
 
 
@@ -112,21 +119,30 @@ def matching_form(text: str | None) -> str | None:
 # ---- anchors: any quote of a class shares its one anchor with every text that contains it ----
 
 #: class: least length, characters in a gram, grams in a window. Below the last length, grams get shorter.
-CLASSES = ((0, 48, 16, 24), (1, 20, 10, 11), (2, 3, 3, 1), (3, 1, 1, 1))
+CLASSES = ((0, 48, 16, 24), (1, 20, 8, 12), (2, 3, 3, 1), (3, 1, 1, 1))
+_MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(30))) * _MULTIPLIERS[1]
+    x = (x ^ (x >> np.uint64(27))) * _MULTIPLIERS[2]
     return x ^ (x >> np.uint64(31))
 
 
+def _doubled(x: np.ndarray, width: int, join) -> np.ndarray:
+    """join over every `width` neighbours, by joining runs of 1, 2, 4 ... and then two that overlap or touch."""
+    run, level = 1, 0
+    while run * 2 <= width:
+        x, run, level = join(x[:-run], x[run:], level), run * 2, level + 1
+    rest = width - run
+    return x if not rest else join(x[:-rest], x[rest:], level)
+
+
 def _grams(codes: np.ndarray, k: int, salt: int) -> np.ndarray:
-    n = len(codes) - k + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
+    if len(codes) < k:
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
+        h = _doubled(codes, k, lambda a, b, level: a * _MULTIPLIERS[level] + b)
         return _mix(h + np.uint64((salt * 0x51ED2701 + 1) & 0xFFFFFFFF))
 
 
@@ -144,15 +160,30 @@ def quote_anchor(quote: str, form: int) -> int:
     return int(_grams(_codes(quote), k, 8 * form + c)[:w].min().astype(np.int64))
 
 
-def text_anchors(text: str, form: int, c: int) -> np.ndarray:
-    """The smallest gram of each window of the text, without repeats."""
-    _, least, k, w = CLASSES[c]
-    if len(text) < least:
-        return np.zeros(0, np.int64)
-    h = _grams(_codes(text), k, 8 * form + c)
-    if w > 1:
-        h = np.lib.stride_tricks.sliding_window_view(h, min(w, len(h))).min(axis=1)
-    return np.unique(h).astype(np.int64)
+def text_anchors(texts: list[str], form: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the list, anchor) of the smallest gram of each window of each text, without repeats. All texts at once."""
+    _, _, k, w = CLASSES[c]
+    none = np.zeros(0, np.int64)
+    if not texts:
+        return none, none
+    h = _grams(_codes("".join(texts)), k, 8 * form + c)
+    if len(h) < w:
+        return none, none
+    smallest = _doubled(h, w, lambda a, b, _: np.minimum(a, b))
+    ends = np.cumsum([len(t) for t in texts])
+    first = np.arange(len(smallest))
+    owner = np.searchsorted(ends, first, "right")
+    whole = first + (w + k - 2) < ends[owner]  # windows that reach into the next text belong to none
+    owner, anchors = owner[whole], smallest[whole]
+    # Neighbouring windows mostly share their smallest gram; what repeats further on is dropped by sorting.
+    fresh = np.ones(len(anchors), bool)
+    fresh[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+    owner, anchors = owner[fresh], anchors[fresh]
+    order = np.lexsort((anchors, owner))
+    owner, anchors = owner[order], anchors[order]
+    fresh = np.ones(len(anchors), bool)
+    fresh[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+    return owner[fresh], anchors[fresh].astype(np.int64)
 
 
 @F.pandas_udf(T.StringType())
@@ -183,18 +214,22 @@ def _quote_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _text_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keys, groups, classes = [], [], []
-        anchors = []
-        for key, group, text, form_text, wanted in zip(pdf["text_key"], pdf["group_key"], pdf["text"], pdf["form_text"], pdf["wanted"]):
-            form, s = (0, canonical(text)) if text is not None else (1, matching_form(canonical(form_text)))
-            for w in map(int, wanted) if s else ():
-                if w // 4 == form:
-                    found = text_anchors(s, form, w % 4)
-                    anchors.append(found)
-                    keys.append(np.full(len(found), key, object))
-                    groups.append(np.full(len(found), group, object))
-        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        yield pd.DataFrame({"text_key": flat(keys, object), "group_key": flat(groups, object), "anchor": flat(anchors, np.int64)})
+        sets: dict[int, tuple[list[int], list[str]]] = {}
+        for i, (text, form_text, wanted) in enumerate(zip(pdf["text"], pdf["form_text"], pdf["wanted"])):
+            form = 0 if text is not None else 1
+            classes = [w for w in map(int, wanted) if w // 4 == form]
+            s = (matching_form(canonical(form_text)) if form else canonical(text)) if classes else None
+            for w in classes if s else ():
+                places, texts = sets.setdefault(w, ([], []))
+                places.append(i)
+                texts.append(s)
+        rows, anchors = [], []
+        for w, (places, texts) in sets.items():
+            owner, found = text_anchors(texts, w // 4, w % 4)
+            rows.append(np.array(places)[owner])
+            anchors.append(found)
+        at = np.concatenate(rows) if rows else np.zeros(0, int)
+        yield pd.DataFrame({"text_key": pdf["text_key"].to_numpy()[at], "group_key": pdf["group_key"].to_numpy()[at], "anchor": np.concatenate(anchors) if anchors else np.zeros(0, np.int64)})
 
 
 def find_quotes(texts: DataFrame, quotes: DataFrame, *, text_id: str, quote_id: str, group: str, text: str = "text", form_text: str | None = None, quote: str = "text") -> DataFrame:

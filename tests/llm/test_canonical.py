@@ -50,11 +50,21 @@ def test_matching_form():
 def test_anchors_are_shared_by_every_container():
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh ") for _ in range(400))
-    for size in (1, 2, 3, 7, 19, 20, 21, 47, 48, 49, 120):
+    others = ["", "ab", "x" * 60, text[:47]]
+    for size in (1, 2, 3, 7, 19, 20, 21, 47, 48, 49, 120, 400):
         for _ in range(20):
-            at = rng.randrange(len(text) - size)
+            at = rng.randrange(len(text) - size + 1)
             quote = text[at : at + size]
-            assert C.quote_anchor(quote, 0) in set(C.text_anchors(text, 0, C.class_of(quote)).tolist())
+            owner, anchors = C.text_anchors([*others, text, *others], 0, C.class_of(quote))
+            assert C.quote_anchor(quote, 0) in set(anchors[owner == len(others)].tolist())
+
+
+def test_texts_keep_their_anchors_to_themselves():
+    texts = ["abc " * 9, "", "q", "the door is shut and the light is on " * 3, "zz" * 40]
+    for c in range(4):
+        owner, anchors = C.text_anchors(texts, 0, c)
+        for i, text in enumerate(texts):
+            assert sorted(anchors[owner == i].tolist()) == sorted(C.text_anchors([text], 0, c)[1].tolist())
 
 
 def pairs(spark, chunks, quotes):
