@@ -59,7 +59,7 @@ STANDING_ALONE = {
         oops; please try again later; try again later; please try again; contact the administrator; request id; service temporarily unavailable; unauthorized; timed out; request timed out
         that page; use search; sprawdź adres; zugriff verweigert; accès refusé; acceso denegado; odmowa dostępu; sorry
     """,
-    "filler": "blindtext; lorem; dummy; placeholder; sample",
+    "filler": "blindtext; lorem",
 }
 # Words of the usual mock Latin.
 MOCK_LATIN = set("""lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation
@@ -67,6 +67,7 @@ MOCK_LATIN = set("""lorem ipsum dolor sit amet consectetur adipiscing elit sed d
     sunt culpa qui officia deserunt mollit anim id est laborum cursus mattis ornare varius turpis lectus quasi porro pulvinar pulvin finis finibus vestibulum curabitur praesent
     pellentesque maecenas vivamus aenean nullam donec vitae tellus sapien mauris massa nunc justo libero quam ligula""".split())
 MASHED_KEYS = set("asdf asdfg asdfgh asdfghjkl qwer qwert qwerty qwertz azerty hjkl jkl zxcv zxcvb yxcv dfgh fghj sdfg".split())
+MOCK_OR_MASHED = MOCK_LATIN | MASHED_KEYS
 # Words that name a field, and words that tell to fill one in.
 FIELD_WORDS = set("""name date address postcode zip city street building block tower landlord tenant owner occupier assessor surveyor inspector engineer contractor author role flat unit number no ref
     reference type panel floor area client customer site code report result meter serial job due next last uprn gas supply property title company email phone telephone time year month day
@@ -84,7 +85,7 @@ _ANY_NAME = r"[\p{L}_][\p{L}\p{N}_ .\-|:/]{0,60}"
 _SURE = regex.compile(rf"\{{\{{[^{{}}\n]{{0,80}}\}}\}}|\$\{{[^{{}}\n]{{1,80}}\}}|\$\(\s*{_ANY_NAME}\)|#\{{[^{{}}\n]{{1,80}}\}}|\{{%[^%\n]{{1,80}}%\}}|@@{_ANY_NAME}@@|<<\s*{_ANY_NAME}>>|\[\[{_ANY_NAME}\]\]|\$[\p{{Lu}}_][\p{{Lu}}\p{{N}}_]{{2,40}}\$|\[object Object\]|\{{\d{{1,2}}\}}|\([^()\n]{{1,40}} to be (?:added|inserted|completed)\)|\bDD/MM/YYYY\b|\bXX[/.\-]XX[/.\-]XX(?:XX)?\b")
 _NAMED = regex.compile(rf"\{{\s*({_ANY_NAME})\}}|\[\s*({_ANY_NAME})\]|<\s*({_ANY_NAME})>|«\s*({_ANY_NAME})»|~({_ANY_NAME})~|%({_ANY_NAME})%|__({_ANY_NAME}?)__")
 _TRACE = regex.compile(r"\bat [\w$]+(?:\.[\w$<>]+)+\(\w+\.\w+:\d+\)|\b(?:java|javax|org|com)(?:\.\w+)+(?:Exception|Error)\b|(?:^|\s)[A-Z]\w*(?:Error|Exception): |\bFile \"[^\"]+\", line \d+|\{\"error\"\s*:|<noscript\b|\bError [45]\d\d\b\s*:|\bFatal error: |^Warning: \w+\(")
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_PLAIN_WORD = re.compile(r"[^\W_]+")
 
 
 def _is_field(inner: str) -> bool:
@@ -147,7 +148,11 @@ def _segment_sign(segment: str) -> tuple[str, float] | None:
 
 def _mock_words(text: str) -> bool:
     """Runs of mock Latin, of one word repeated, of mashed keys or of x."""
-    words = _WORD.findall(text.lower())
+    words = _PLAIN_WORD.findall(text.lower())
+    # Most texts hold too few words of any such kind to have a run of them.
+    known = MOCK_OR_MASHED.intersection(words)
+    if len(known) < 2 and "xxx" not in text and "XXX" not in text and not any(a == b == c for a, b, c in zip(words, words[1:], words[2:])):
+        return False
     latin = same = keys = crosses = 0
     before = None
     for w in words:
@@ -161,19 +166,31 @@ def _mock_words(text: str) -> bool:
     return False
 
 
+#: Characters and words without which no placeholder and no trace can stand in a text.
+_MARKS = re.compile(r"[{\[<«~%$#@]|__| to be |DD/MM|XX")
+_TRACE_MARKS = ("Error", "Exception", 'File "', "<noscript", '"error"', "Warning:", "Fatal error")
+_TRACE_CALL = re.compile(r"\(\w+\.\w+:\d")
+
+
 def signs(text: str | None) -> list[tuple[str, str, float]]:
     """(kind, evidence, share of its segment) of all residue in a text; nulls and clean texts have none."""
     if not text:
         return []
-    text = _FOLD.sub("", html.unescape(text) if "&" in text else text)
-    found = [("template", m.group()[:60], 1.0) for m in _SURE.finditer(text)]
-    for m in _NAMED.finditer(text, overlapped=True):
-        if _is_field(next(g for g in m.groups() if g is not None)):
-            found.append(("template", m.group()[:60], 1.0))
-    found += [("error" if "noscript" not in m.group() else "script", m.group()[:60], 1.0) for m in _TRACE.finditer(text)]
-    for segment in _SEGMENTS.split(text):
-        if segment and (sign := _segment_sign(segment)):
-            found.append((sign[0], segment[:60], round(sign[1], 3)))
+    text = html.unescape(text) if "&" in text else text
+    text = text if text.isascii() else _FOLD.sub("", text)
+    found = []
+    if _MARKS.search(text):
+        found += [("template", m.group()[:60], 1.0) for m in _SURE.finditer(text)]
+        for m in _NAMED.finditer(text, overlapped=True):
+            if _is_field(next(g for g in m.groups() if g is not None)):
+                found.append(("template", m.group()[:60], 1.0))
+    if any(mark in text for mark in _TRACE_MARKS) or "(" in text and _TRACE_CALL.search(text):
+        found += [("error" if "noscript" not in m.group() else "script", m.group()[:60], 1.0) for m in _TRACE.finditer(text)]
+    # One pass over the whole text tells whether any segment needs a closer look.
+    if next(_automaton().iter(_fold(text)), None) is not None:
+        for segment in _SEGMENTS.split(text):
+            if segment and next(_automaton().iter(_fold(segment)), None) is not None and (sign := _segment_sign(segment)):
+                found.append((sign[0], segment[:60], round(sign[1], 3)))
     if _mock_words(text):
         found.append(("filler", "mock words", 1.0))
     return found
