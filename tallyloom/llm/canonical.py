@@ -204,11 +204,11 @@ def consistent_texts(df: DataFrame, *columns: str) -> DataFrame:
 def _quote_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for key, group, text in zip(pdf["quote_key"], pdf["group_key"], pdf["text"]):
+        for key, group, mark, text in zip(pdf["quote_key"], pdf["group_key"], pdf["group_mark"], pdf["text"]):
             seen = canonical(text)
             for form, s in enumerate((seen, matching_form(seen))):
                 if s:
-                    rows.append((key, group, form, class_of(s), quote_anchor(s, form), s))
+                    rows.append((key, group, form, class_of(s), quote_anchor(s, form) ^ mark, s))
         yield pd.DataFrame(rows, columns=["quote_key", "group_key", "form", "size_class", "anchor", "quote"])
 
 
@@ -229,7 +229,8 @@ def _text_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append(np.array(places)[owner])
             anchors.append(found)
         at = np.concatenate(rows) if rows else np.zeros(0, int)
-        yield pd.DataFrame({"text_key": pdf["text_key"].to_numpy()[at], "group_key": pdf["group_key"].to_numpy()[at], "anchor": np.concatenate(anchors) if anchors else np.zeros(0, np.int64)})
+        found = np.concatenate(anchors) if anchors else np.zeros(0, np.int64)
+        yield pd.DataFrame({"text_key": pdf["text_key"].to_numpy()[at], "anchor": found ^ pdf["group_mark"].to_numpy(np.int64)[at]})
 
 
 def find_quotes(texts: DataFrame, quotes: DataFrame, *, text_id: str, quote_id: str, group: str, text: str = "text", form_text: str | None = None, quote: str = "text") -> DataFrame:
@@ -237,20 +238,20 @@ def find_quotes(texts: DataFrame, quotes: DataFrame, *, text_id: str, quote_id:
 
     Where `text` is null, the quote in matching form is looked for in `form_text`. Nulls in an id, group or
     quote match nothing, an empty quote matches nothing, repeated rows give one pair, and long texts are read
-    whole. Both sides meet on (group, anchor); a text sends one anchor per window, a quote exactly one, so no
-    group is ever gathered or paired up, and each candidate pair is verified on the whole texts.
+    whole. Both sides meet on the anchor mixed with the group's hash; a text sends one anchor per window, a quote
+    exactly one, so no group is ever gathered or paired up, and each candidate pair is verified on its group and
+    the whole texts.
     """
     form_col = F.col(form_text) if form_text else F.lit(None).cast("string")
     q = quotes.select(F.col(quote_id).alias("quote_key"), F.col(group).alias("group_key"), F.col(quote).alias("text")).where("quote_key is not null and group_key is not null and text is not null")
     t = texts.select(F.col(text_id).alias("text_key"), F.col(group).alias("group_key"), F.col(text).alias("text"), form_col.alias("form_text")).where("text_key is not null and group_key is not null and (text is not null or form_text is not null)")
     key_type, group_type, quote_type = t.schema["text_key"].dataType.simpleString(), t.schema["group_key"].dataType.simpleString(), q.schema["quote_key"].dataType.simpleString()
-    q = q.mapInPandas(_quote_rows, f"quote_key {quote_type}, group_key {group_type}, form int, size_class int, anchor bigint, quote string").distinct()
+    q = q.withColumn("group_mark", F.xxhash64("group_key")).mapInPandas(_quote_rows, f"quote_key {quote_type}, group_key {group_type}, form int, size_class int, anchor bigint, quote string").distinct()
     # A text only sends the classes that quotes of its group have; at most eight numbers a group.
     wanted = q.groupBy("group_key").agg(F.collect_set(F.col("form") * 4 + F.col("size_class")).alias("wanted"))
-    anchors = t.join(wanted, "group_key").mapInPandas(_text_rows, f"text_key {key_type}, group_key {group_type}, anchor bigint")
-    candidates = anchors.join(q, ["group_key", "anchor"]).select("text_key", "quote_key", "form", "quote")
-    seen = t.select("text_key", "text", "form_text")
-    verified = candidates.join(seen, "text_key").select(
+    anchors = t.join(wanted, "group_key").withColumn("group_mark", F.xxhash64("group_key")).mapInPandas(_text_rows, f"text_key {key_type}, anchor bigint")
+    candidates = anchors.join(q, "anchor").select("text_key", "group_key", "quote_key", "form", "quote")
+    verified = candidates.join(t, ["text_key", "group_key"]).select(
         "text_key", "quote_key", "quote", "form", F.when(F.col("form") == 0, F.col("text")).when(F.col("text").isNull(), F.col("form_text")).alias("raw")
     )
     verified = verified.where("raw is not null").mapInPandas(_verify, f"text_key {key_type}, quote_key {quote_type}")
