@@ -16,6 +16,12 @@ def l2_normalised(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(norm > 0, x / norm).otherwise(x.cast("double")))
 
 
+def settled(c: Column, digits: int) -> Column:
+    """Rounded after a nudge of a thousandth of the last digit, so that decimal ties, and sums that differ in their last
+    bits, come out alike in every engine."""
+    return F.round(c + F.lit(10.0 ** -(digits + 3)), digits)
+
+
 def safe_ratio(num: Column, den: Column) -> Column:
     """num / den; infinite where the denominator is 0, null where either is missing."""
     return F.when(den == 0, F.lit(float("inf"))).otherwise(num / den)

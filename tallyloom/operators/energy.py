@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions.arrays import settled
 from tallyloom.operators.sequences import next_rows
 
 
@@ -30,8 +31,8 @@ def series_energy(samples: DataFrame, keys: list[str], max_gap_s: float = 15.0,
     )
     span = (F.col("last_at") - F.col("first_at")) / 1e6
     return sums.select(
-        *keys, "samples", F.round(F.col("joules") / 3600, 6).alias("energy_wh"), F.round("covered_s", 3).alias("covered_s"), F.round(F.col("joules") / F.col("covered_s"), 3).alias("mean_w"),
-        F.round("peak_w", 3).alias("peak_w"), "gaps", F.round("gap_s", 3).alias("gap_s"), F.round(F.try_divide("covered_s", span), 4).alias("coverage"),
+        *keys, "samples", settled(F.col("joules") / 3600, 6).alias("energy_wh"), settled(F.col("covered_s"), 3).alias("covered_s"), settled(F.col("joules") / F.col("covered_s"), 3).alias("mean_w"),
+        settled(F.col("peak_w"), 3).alias("peak_w"), "gaps", settled(F.col("gap_s"), 3).alias("gap_s"), settled(F.try_divide("covered_s", span), 4).alias("coverage"),
     )
 
 
@@ -78,7 +79,7 @@ def window_energy(spans: DataFrame, samples: DataFrame, max_gap_s: float = 15.0,
     enough = (F.col("_c") > 0) & ((F.col("samples") > 0) | (F.col("edges") == 2))
     return summed.select(
         *spans.columns, "samples", "edges",
-        F.when(enough, F.round(F.col("_j") / 3600, 6)).alias("energy_wh"), F.when(enough, F.round("_c", 3)).otherwise(zero).alias("covered_s"),
+        F.when(enough, settled(F.col("_j") / 3600, 6)).alias("energy_wh"), F.when(enough, settled(F.col("_c"), 3)).otherwise(zero).alias("covered_s"),
         F.when(enough, F.round(F.col("_j") / F.col("_c"), 3)).alias("mean_w"), F.when(enough, F.round("_top", 3)).alias("peak_w"), F.when(enough, F.col("_g")).otherwise(F.lit(0)).alias("gaps"),
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import resampling
-from tallyloom.functions.arrays import bonferroni
+from tallyloom.functions.arrays import bonferroni, settled
 
 #: The most questions whose sign patterns are enumerated in SQL.
 EXACT_QUESTIONS = 14
@@ -21,7 +21,7 @@ def pool_runs(scores: DataFrame, stat: str = "mean", least_runs: int = 1) -> Dat
     """One value per cell, metric and question over its runs; questions with fewer runs are left out."""
     how = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}[stat]
     pooled = scores.where("value is not null").groupBy("cell", "metric", "query_id").agg(how("value").alias("value"), F.countDistinct("run_id").alias("runs"))
-    return pooled.where(F.col("runs") >= least_runs).withColumn("value", F.round("value", 6))
+    return pooled.where(F.col("runs") >= least_runs).withColumn("value", settled(F.col("value"), 6))
 
 
 def paired(scores: DataFrame, reference: str) -> DataFrame:

@@ -145,10 +145,10 @@ _RATIOS = "ra AS (SELECT o_orderpriority AS cell, count(*) AS n, avg(o_totalpric
 
 SQL = {
     "melted_scores": f"WITH {_SCORES} SELECT cell, metric, count(*) AS n, round(sum(value), 3) AS total FROM sc GROUP BY 1, 2",
-    "pooled_runs": f"WITH {_SCORES} SELECT cell, metric, query_id, round(avg(value), 6) AS value, count(DISTINCT run_id) AS runs FROM sc GROUP BY 1, 2, 3 HAVING count(DISTINCT run_id) >= 2",
-    "pooled_medians": f"WITH {_SCORES} SELECT cell, metric, query_id, round(median(value), 6) AS value, count(DISTINCT run_id) AS runs FROM sc GROUP BY 1, 2, 3",
+    "pooled_runs": f"WITH {_SCORES} SELECT cell, metric, query_id, round(avg(value) + 1e-9, 6) AS value, count(DISTINCT run_id) AS runs FROM sc GROUP BY 1, 2, 3 HAVING count(DISTINCT run_id) >= 2",
+    "pooled_medians": f"WITH {_SCORES} SELECT cell, metric, query_id, round(median(value) + 1e-9, 6) AS value, count(DISTINCT run_id) AS runs FROM sc GROUP BY 1, 2, 3",
     "paired_deltas": f"""
-        WITH {_SCORES}, p AS (SELECT cell, metric, query_id, round(avg(value), 6) AS v FROM sc GROUP BY 1, 2, 3)
+        WITH {_SCORES}, p AS (SELECT cell, metric, query_id, round(avg(value) + 1e-9, 6) AS v FROM sc GROUP BY 1, 2, 3)
         SELECT a.cell, a.metric, count(*) AS n, round(avg(a.v - b.v), 6) AS delta, round(stddev_samp(a.v - b.v), 6) AS diff_sd FROM p a JOIN p b ON a.metric = b.metric AND a.query_id = b.query_id AND b.cell = 'control' AND a.cell <> 'control' GROUP BY 1, 2""",
     "permutation_exact": f"""
         WITH {_SEGMENTS}, v AS (SELECT cell, query_id, 'cost' AS metric, cost AS x FROM per UNION ALL SELECT cell, query_id, 'joint', joint FROM per),

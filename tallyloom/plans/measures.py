@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.arrays import parse_watts, utilisation_watts
+from tallyloom.functions.arrays import parse_watts, settled, utilisation_watts
 from tallyloom.operators import context, energy, grid, ingest
 from tallyloom.plans.problems import READINGS
 from tallyloom.session import checkpoint_dir, load
@@ -35,13 +35,13 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 def energy_by_span(spark: SparkSession, d: str) -> DataFrame:
     samples = _samples(spark, d).where("device = 'meter-04'").groupBy(F.col("device").alias("meter"), "at").agg(F.max("watts").alias("watts"))
     per = energy.window_energy(_spans(spark, d), samples, max_gap_s=30.0)
-    return per.select("span_id", "samples", "edges", F.round("energy_wh", 5).alias("energy_wh"), "covered_s")
+    return per.select("span_id", "samples", "edges", settled(F.col("energy_wh"), 5).alias("energy_wh"), "covered_s")
 
 
 def energy_by_cell(spark: SparkSession, d: str) -> DataFrame:
     samples = _samples(spark, d).where("device = 'meter-04'").groupBy(F.col("device").alias("meter"), "at").agg(F.max("watts").alias("watts"))
     per = energy.window_energy(_spans(spark, d), samples, max_gap_s=30.0)
-    return per.groupBy("cell").agg(F.count("*").alias("spans"), F.count("energy_wh").alias("measured"), F.round(F.sum("covered_s"), 2).alias("covered_s"), F.round(F.sum(F.round("energy_wh", 5)), 4).alias("energy_wh"))
+    return per.groupBy("cell").agg(F.count("*").alias("spans"), F.count("energy_wh").alias("measured"), settled(F.sum("covered_s"), 2).alias("covered_s"), settled(F.sum(settled(F.col("energy_wh"), 5)), 4).alias("energy_wh"))
 
 
 def cell_power(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +144,7 @@ _ENERGY = f"""
     tot AS (
         SELECT span_id, sum(inside) AS samples, count(*) - sum(inside) AS edges, coalesce(sum(CASE WHEN t > t0 AND (t - t0) / 1e6 <= 30 THEN 0.5 * (w + w0) * (t - t0) / 1e6 END), 0) AS j, coalesce(sum(CASE WHEN t > t0 AND (t - t0) / 1e6 <= 30 THEN (t - t0) / 1e6 END), 0) AS c FROM prs GROUP BY 1),
     res AS (
-        SELECT span_id, cell, coalesce(samples, 0)::BIGINT AS samples, coalesce(edges, 0)::INT AS edges, CASE WHEN c > 0 AND (samples > 0 OR edges = 2) THEN round(round(j / 3600, 6), 5) END AS energy_wh, CASE WHEN c > 0 AND (samples > 0 OR edges = 2) THEN round(c, 3) ELSE 0.0 END AS covered_s
+        SELECT span_id, cell, coalesce(samples, 0)::BIGINT AS samples, coalesce(edges, 0)::INT AS edges, CASE WHEN c > 0 AND (samples > 0 OR edges = 2) THEN round(round(j / 3600 + 1e-9, 6) + 1e-8, 5) END AS energy_wh, CASE WHEN c > 0 AND (samples > 0 OR edges = 2) THEN round(c + 1e-6, 3) ELSE 0.0 END AS covered_s
         FROM spans LEFT JOIN tot USING (span_id))"""
 _R = "r AS (SELECT DISTINCT * EXCLUDE (logged_at) FROM query_records WHERE linked)"
 _LIFE = """
@@ -170,12 +170,12 @@ SQL = {
         s AS (
             SELECT device, tag, count(*) AS samples, sum(CASE WHEN dt > 0 AND dt <= 60 THEN 0.5 * (watts + w1) * dt END) AS j, coalesce(sum(CASE WHEN dt > 0 AND dt <= 60 THEN dt END), 0) AS c, max(watts) AS pk, count(*) FILTER (dt > 60) AS gaps,
                    coalesce(sum(CASE WHEN dt > 60 THEN dt END), 0) AS g, (max(at_us) - min(at_us)) / 1e6 AS span FROM q GROUP BY 1, 2)
-        SELECT device, tag, samples, round(j / 3600, 6) AS energy_wh, round(c, 3) AS covered_s, round(j / c, 3) AS mean_w, round(pk, 3) AS peak_w, gaps, round(g, 3) AS gap_s, round(c / nullif(span, 0), 4) AS coverage FROM s""",
+        SELECT device, tag, samples, round(j / 3600 + 1e-9, 6) AS energy_wh, round(c + 1e-6, 3) AS covered_s, round(j / c + 1e-6, 3) AS mean_w, round(pk + 1e-6, 3) AS peak_w, gaps, round(g + 1e-6, 3) AS gap_s, round(c / nullif(span, 0) + 1e-7, 4) AS coverage FROM s""",
     "power_by_device": f"WITH {READINGS} SELECT device, count(*) AS samples, round(avg(watts), 6) AS mean_w, max(watts) AS peak_w, count(DISTINCT tag) AS sittings FROM usable GROUP BY 1",
     "energy_by_span": f"WITH {_ENERGY} SELECT span_id, samples, edges, energy_wh, covered_s FROM res",
-    "energy_by_cell": f"WITH {_ENERGY} SELECT cell, count(*) AS spans, count(energy_wh) AS measured, round(sum(covered_s), 2) AS covered_s, round(sum(energy_wh), 4) AS energy_wh FROM res GROUP BY 1",
+    "energy_by_cell": f"WITH {_ENERGY} SELECT cell, count(*) AS spans, count(energy_wh) AS measured, round(sum(covered_s) + 1e-5, 2) AS covered_s, round(sum(energy_wh) + 1e-7, 4) AS energy_wh FROM res GROUP BY 1",
     "cell_power": f"""
-        WITH {_ENERGY}, q AS (SELECT r.cell, count(*) AS n, sum((end_us - start_us) / 1e6) AS s, sum(covered_s) AS c, sum(CASE WHEN energy_wh IS NOT NULL THEN round(j / 3600, 6) END) AS e FROM res r JOIN spans USING (span_id) LEFT JOIN tot USING (span_id) GROUP BY 1)
+        WITH {_ENERGY}, q AS (SELECT r.cell, count(*) AS n, sum((end_us - start_us) / 1e6) AS s, sum(covered_s) AS c, sum(CASE WHEN energy_wh IS NOT NULL THEN round(j / 3600 + 1e-9, 6) END) AS e FROM res r JOIN spans USING (span_id) LEFT JOIN tot USING (span_id) GROUP BY 1)
         SELECT cell, n, round(s, 3) AS span_s, round(c / s, 4) AS coverage, round(CASE WHEN c / s >= 0.8 AND c > 0 THEN e * 3600 / c ELSE 65.0 END, 3) AS mean_w, CASE WHEN c / s >= 0.8 AND c > 0 THEN 'measured' ELSE 'upper bound' END AS kind FROM q""",
     "serving_spans": f"""
         WITH {_R}, s AS (SELECT cell_name, run_id, epoch_us(answered_at) AS e, least(greatest(CASE WHEN latency_ms >= 0 THEN latency_ms ELSE 0 END + CASE WHEN retrieval_latency_ms >= 0 THEN retrieval_latency_ms ELSE 0 END + CASE WHEN rerank_latency_ms >= 0 THEN rerank_latency_ms ELSE 0 END, 1), 600000) AS ms FROM r WHERE answered_at IS NOT NULL)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
+from tallyloom.functions.arrays import settled
 from tallyloom.operators import answers
 from tallyloom.plans.retrieval import norm_sql
 from tallyloom.session import load
@@ -57,7 +58,7 @@ def raga_overall(spark: SparkSession, d: str) -> DataFrame:
     over = answers.token_overlap(rows, "record_id")
     fields = rows.select("record_id", "cell_name").join(over, "record_id", "left").withColumn("answered", F.lit(1.0))
     means = fields.groupBy("cell_name").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("token_f1", "token_cosine")), F.count("token_f1").alias("n_scored"), F.count("*").alias("n"))
-    return means.withColumn("overall", F.round((F.col("token_f1") + F.col("token_cosine")) / 2, 5))
+    return means.withColumn("overall", settled((F.col("token_f1") + F.col("token_cosine")) / 2, 5))
 
 
 def token_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +173,7 @@ SQL = {
         SELECT cell_name, count(*) AS n, round(avg(score), 6) AS score, round(avg((score >= 0.5)::INT), 6) AS strict_rate FROM s GROUP BY 1""",
     "raga_overall": f"""
         WITH {_OVER}, x AS (SELECT r.cell_name, round(avg(token_f1), 6) AS token_f1, round(avg(token_cosine), 6) AS token_cosine, count(token_f1) AS n_scored, count(*) AS n FROM r LEFT JOIN f USING (record_id) WHERE linked GROUP BY 1)
-        SELECT *, round((token_f1 + token_cosine) / 2, 5) AS overall FROM x""",
+        SELECT *, round((token_f1 + token_cosine) / 2 + 1e-8, 5) AS overall FROM x""",
     "token_totals": f"""
         WITH {_R}, x AS (
             SELECT cell_name, count(*) AS n_answers, count(*) FILTER (tokens_input IS NOT NULL AND tokens_output IS NOT NULL) AS n_split, count(*) FILTER ((tokens_input IS NULL OR tokens_output IS NULL) AND tokens_total IS NOT NULL) AS n_total_only,
