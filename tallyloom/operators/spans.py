@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Microseconds of a shard: about 36 minutes.
-SHARD = 1 << 31
+#: A shard is 2**31 microseconds, about 36 minutes.
+SHARD_BITS = 31
+SHARD = 1 << SHARD_BITS
 
 
 def interval_runs(intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fine runs: label, shard, lo, hi in microseconds; coarse runs: label, lo, hi in whole shards), half-open, merged
     per start. Intervals with a null or without positive length set nothing."""
     rows = intervals.select("label", F.unix_micros("start_at").alias("a"), F.unix_micros("end_at").alias("b")).where("label is not null and a < b")
-    cut = rows.withColumns({"sa": F.floor(F.col("a") / SHARD), "sb": F.floor((F.col("b") - 1) / SHARD)})
+    cut = rows.withColumns({"sa": F.shiftright("a", SHARD_BITS), "sb": F.shiftright(F.col("b") - 1, SHARD_BITS)})
     run = lambda shard, lo, hi: F.struct(shard.cast("bigint").alias("shard"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
     a, b, sa, sb = (F.col(c) for c in ("a", "b", "sa", "sb"))
     pieces = F.when(sa == sb, F.array(run(sa, a, b))).otherwise(F.array(run(sa, a, (sa + 1) * SHARD), run(sb, sb * SHARD, b)))
@@ -65,7 +66,7 @@ def set_and_clear_runs(intervals: DataFrame) -> DataFrame:
     # Periods lie between gaps: every gap ends one and begins the next.
     edges = gaps.select("label", F.inline(F.array(F.struct(F.col("lo").alias("at"), F.lit(False).alias("opens")), F.struct(F.col("hi").alias("at"), F.lit(True).alias("opens")))))
     edges = edges.unionByName(outer.select("label", F.inline(F.array(F.struct(F.col("first").alias("at"), F.lit(True).alias("opens")), F.struct(F.col("last").alias("at"), F.lit(False).alias("opens"))))))
-    block = F.floor(F.col("at") / SHARD)
+    block = F.shiftright("at", SHARD_BITS)
     inside = Window.partitionBy("label", "block").orderBy("at", F.col("opens").asc())
     stitched = edges.withColumn("block", block).withColumn("next_at", F.lead("at").over(inside))
     closed = stitched.where("opens and next_at is not null").select("label", F.col("at").alias("lo"), F.col("next_at").alias("hi"))
