@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import answers, checks, inference, ranking
+from tallyloom.operators import answers, checks, inference, ranking, report
 from tallyloom.session import load
 
 REFERENCE = "control"
@@ -125,11 +125,18 @@ def delta_checks(spark: SparkSession, d: str) -> DataFrame:
     return checks.status_counts(checks.verify_deltas(delta_blocks(spark, d), contrasts=len(GRID) - 1))
 
 
+def experiment_report(spark: SparkSession, d: str) -> DataFrame:
+    """Grid and off-grid contrasts of all metrics with the checks they passed; rows only."""
+    out = report.experiment(_scores(spark, d), reference=REFERENCE, grid=GRID, offgrid=OFFGRID)
+    passed = out["checks"].groupBy("block", "cell", "metric").agg(F.count_if(F.col("status") == "fail").alias("failed_checks"))
+    return out["deltas"].join(passed, ["block", "cell", "metric"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         melted_scores, pooled_runs, pooled_medians, paired_deltas, delta_blocks, mean_intervals, permutation_exact, ratio_permutation_exact, ratio_deltas, seeded_bootstrap, ratio_by_cell,
-        ratio_against_reference, experiment_families, grid_pivot, cell_rollup, pool_checks, ratio_checks, delta_checks,
+        ratio_against_reference, experiment_families, grid_pivot, cell_rollup, pool_checks, ratio_checks, delta_checks, experiment_report,
     )
 }
 
