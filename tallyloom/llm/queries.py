@@ -26,7 +26,7 @@ def p1_consistent_texts(spark: SparkSession, d: str) -> DataFrame:
 def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
     used = ["record_id", "cell_name", "model", "answered_at", *LATENCIES]
     records = load(spark, d, "query_records").select(*used).distinct()
-    return quantiles.sketch_columns(records.withColumn("day", F.to_date("answered_at")), ["cell_name", "model", "day"], LATENCIES)
+    return quantiles.sketch_columns(records.withColumn("day", F.to_date("answered_at").cast("string")), ["cell_name", "model", "day"], LATENCIES)
 
 
 def p2_latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +120,24 @@ QUERIES = {
 
 INK_SQL = r"[^\p{Z}\p{C}\s\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]"
 
+_LATENCY_ROWS = """
+    r AS (SELECT DISTINCT record_id, cell_name, model, answered_at, latency_ms, retrieval_latency_ms, rerank_latency_ms FROM query_records),
+    v AS (
+        SELECT cell_name, model, answered_at::DATE::VARCHAR AS day, 'latency_ms' AS measure, latency_ms AS x FROM r WHERE latency_ms >= 1
+        UNION ALL SELECT cell_name, model, answered_at::DATE::VARCHAR, 'retrieval_latency_ms', retrieval_latency_ms FROM r WHERE retrieval_latency_ms >= 0
+        UNION ALL SELECT cell_name, model, answered_at::DATE::VARCHAR, 'rerank_latency_ms', rerank_latency_ms FROM r WHERE rerank_latency_ms >= 0)"""
+
+
+def _percentile_sql(keys: str) -> str:
+    """Exact percentiles: what a sketch answers while a group holds no more values than its k; beyond that it may be off by
+    the stated rank error."""
+    picks = ", ".join(f"s[ceil({q} * len(s))::BIGINT] AS {name}" for name, q in FRACTIONS.items())
+    return f"WITH {_LATENCY_ROWS}, g AS (SELECT {keys}, measure, list_sort(list(x)) AS s FROM v GROUP BY ALL) SELECT {keys}, measure, len(s) AS n, {picks}, {quantiles.rank_error_bound(quantiles.DEFAULT_K)!r}::DOUBLE AS rank_error_bound FROM g"
+
+
 SQL = {
+    "p2_latency_percentiles": _percentile_sql("cell_name, model"),
+    "p2_latency_by_day": _percentile_sql("cell_name, model, day"),
     "p4_found": "SELECT DISTINCT built_id FROM built_chunks WHERE length(text) > 4000",
     "p3_found": rf"""
         WITH m AS (
