@@ -82,17 +82,22 @@ class TestGrams:
         return [(item, a, b) for item, (a, b) in out]
 
 
+def _test_grams(tests: DataFrame, item_id: str = "item_id", n: int = 10):
+    """The n-grams of the test side as a broadcast variable; raises where the side exceeds its bound."""
+    size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    if size > MAX_TEST_CHARS:
+        raise ValueError(f"the test side holds {size} characters; the bound for broadcasting is {MAX_TEST_CHARS}")
+    items = [tuple(r) for r in tests.select(item_id, "text").where(f"{item_id} is not null").collect()]
+    return tests.sparkSession.sparkContext.broadcast(TestGrams(items, n))
+
+
 def find_leaks(corpus: DataFrame, tests: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", n: int = 10) -> DataFrame:
     """One row per (item, document) that share a run of at least n words: item_id, doc_id, n_spans, longest_run, covered_words, item_words.
 
     Null or short texts and items share nothing; a repeated document or item counts once per id. A test side
     over MAX_TEST_CHARS raises: it would have to be joined instead of broadcast.
     """
-    size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size > MAX_TEST_CHARS:
-        raise ValueError(f"the test side holds {size} characters; the bound for broadcasting is {MAX_TEST_CHARS}")
-    items = [tuple(r) for r in tests.select(item_id, "text").where(f"{item_id} is not null").collect()]
-    grams = corpus.sparkSession.sparkContext.broadcast(TestGrams(items, n))
+    grams = _test_grams(tests, item_id, n)
     doc_type, item_type = corpus.schema[doc_id].dataType.simpleString(), tests.schema[item_id].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,3 +121,37 @@ def find_leaks(corpus: DataFrame, tests: DataFrame, *, doc_id: str = "doc_id", t
 def without_leaks(corpus: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The corpus without the documents that leak; all its columns stay."""
     return corpus.join(leaks.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
+
+
+def without_spans(corpus: DataFrame, tests: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", n: int = 10) -> DataFrame:
+    """(doc_id, text, removed_words): every text without the words it shares with a test item in runs of at least n.
+
+    Texts that leak nothing stay as they are; others lose their invisible characters with the runs, and the words
+    around a run stay apart by a blank. Null texts stay null.
+    """
+    grams = _test_grams(tests, item_id, n)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = grams.value
+        for pdf in batches:
+            out = [cut_spans(body, index) if body is not None else (None, 0) for body in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [t for t, _ in out], "removed_words": [k for _, k in out]})
+
+    doc_type = corpus.schema[doc_id].dataType.simpleString()
+    return corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(scan, f"doc_id {doc_type}, text string, removed_words int")
+
+
+def cut_spans(text: str, index: TestGrams) -> tuple[str, int]:
+    runs = sorted((a, b) for _, a, b in index.spans(text))
+    if not runs:
+        return text, 0
+    seen = unicodedata.normalize("NFC", UNSEEN.sub("", text))
+    places = [m.span() for m in WORDS.finditer(seen)]
+    kept, done, removed = [], 0, 0
+    for a, b in runs:
+        a = max(a, done)
+        if a < b:
+            kept.append(seen[places[done - 1][1] if done else 0 : places[a][0]])
+            done, removed = b, removed + b - a
+    kept.append(seen[places[done - 1][1] :])
+    return " ".join(x.strip() for x in kept if x.strip()), removed

@@ -89,6 +89,11 @@ def p8_clean_documents(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(docs, leaks.find_leaks(docs, load(spark, d, "eval_items"))).select("doc_id", "source", "n_chars")
 
 
+def p8_redacted_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without the runs of words they share with test items."""
+    return leaks.without_spans(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "removed_words", F.length("text").alias("chars_left"))
+
+
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = load(spark, d, "mix_targets").withColumnRenamed("source_name", "source")
     return mixture.mix(mixture.count_tokens(load(spark, d, "documents")), targets)
@@ -114,7 +119,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_consistent_texts, p2_latency_percentiles, p2_latency_by_day, p3_found, p3_conversations, p4_found, p4_pieces,
-        p6_found, p8_found, p8_leaks, p8_clean_documents, p9_mixture, p9_shares, p10_found, p10_residue,
+        p6_found, p8_found, p8_leaks, p8_clean_documents, p8_redacted_documents, p9_mixture, p9_shares, p10_found, p10_residue,
     )
 }
 

@@ -48,3 +48,14 @@ def test_clean_documents_and_bound(spark, monkeypatch):
 def test_very_long_text():
     index = L.TestGrams([(1, ITEM)], 10)
     assert index.spans("word " * 300_000 + ITEM) == [(1, 300_000, 300_012)]
+
+
+def test_cutting_spans(spark):
+    index = L.TestGrams([(1, ITEM)], 10)
+    assert L.cut_spans("Before, ONE two three four fi\u200bve six seven eight nine ten! After.", index) == ("Before, ! After.", 10)
+    assert L.cut_spans(ITEM, index) == ("", 12) and L.cut_spans("clean\u200b text", index) == ("clean\u200b text", 0)
+    overlapping = L.TestGrams([(1, "a b c d e"), (2, "c d e f g")], 3)
+    assert L.cut_spans("x a b c d e f g y", overlapping) == ("x y", 7)
+    df = spark.createDataFrame([(1, f"keep {ITEM} this"), (2, None)], "doc_id bigint, text string")
+    tests = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    assert [tuple(r) for r in L.without_spans(df, tests).orderBy("doc_id").collect()] == [(1, "keep this", 12), (2, None, 0)]
