@@ -167,7 +167,8 @@ def judge_conversations(facts: DataFrame, turns: DataFrame) -> DataFrame:
     """One row per conversation: turns, sound, and why not: empty, unknown_row, bad_start, bad_order, no_reply.
 
     Sound conversations begin with asking, strictly alternate and end with an answer; any non-system row with
-    unknown speaker or without a time makes one unsound, visible or not. Repeated rows count once.
+    unknown speaker or without a time makes one unsound, visible or not. Repeated rows count once,
+    equal times are ordered by message_id, rows of no conversation belong to none, and empty tables give no rows.
     """
     rows = facts.groupBy("conversation_id").agg(F.max(F.coalesce(F.col("role") != "system", F.lit(True)) & (F.col("role").isNull() | F.col("created_at").isNull())).alias("unknown_row"))
     paths = turns.groupBy("conversation_id").agg(
