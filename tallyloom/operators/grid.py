@@ -42,8 +42,10 @@ def iso_instant(text):
 
 def usable_readings(log: DataFrame) -> DataFrame:
     """(device, tag, at, watts): readable stamp, finite watts of zero or more. at counts microseconds since 1970."""
-    rows = log.select("device", "tag", F.unix_micros(iso_instant(F.col("iso_ts"))).alias("at"), F.col("watts").cast("double").alias("watts"))
-    return rows.where("at is not null and watts is not null and not isnan(watts) and watts >= 0 and watts < double('Infinity')")
+    sampled = log.where("iso_ts is not null and watts is not null and not isnan(watts) and watts >= 0 and watts < double('Infinity')")
+    # As the output of a generator the stamp is read once a row; a filter on a plain column would read it again.
+    stamped = F.inline(F.array(F.struct(F.unix_micros(iso_instant(F.col("iso_ts"))).alias("at"), F.col("watts").cast("double").alias("watts"))))
+    return sampled.select("device", "tag", stamped).where("at is not null")
 
 
 def minute_means(readings: DataFrame) -> DataFrame:
