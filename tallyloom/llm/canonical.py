@@ -81,11 +81,15 @@ def unstable_pattern() -> re.Pattern:
     return re.compile(f"[{inside}]+")
 
 
-@lru_cache(maxsize=200_000)
-def _canon_segment(segment: str) -> str:
+@lru_cache(maxsize=100_000)
+def _short_segment(segment: str) -> str:
     return _canon(segment)
 
 
+def _canon_segment(segment: str) -> str:
+    return _short_segment(segment) if len(segment) <= 16 else _canon(segment)
+
+
 def canonical(text: str | None) -> str | None:
     """The consistent form: case, width, look-alikes, invisible characters and the amount of blank space agree.
 
