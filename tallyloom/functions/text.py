@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -202,5 +201,3 @@ def clip(c: Column, n: int = 70) -> Column:
     folded = collapse_blanks(c)
     return F.when(F.length(folded) > n, F.concat(F.substring(folded, 1, n), F.lit("..."))).otherwise(folded)
 
-
-SENTENCE_SPLIT = re.compile(SENTENCE_BREAK)
