@@ -17,13 +17,15 @@ def prepared(df: DataFrame, key: str, document: str, text: str) -> DataFrame:
     return norm.withColumn("grams", F.array_distinct(shingles(blank_tokens(F.col("norm")), SHINGLE)))
 
 
-def _rarest(quotes: DataFrame, chunks: DataFrame, unit: str, keep) -> DataFrame:
-    """(evidence_id, document, unit): of each quote's units the `keep` ones that fewest chunks of its document hold."""
+def _rarest(wanted: DataFrame, chunks: DataFrame, unit: str) -> DataFrame:
+    """(evidence_id, document, unit): of each list of units the `keep` ones that fewest chunks of the document hold.
+
+    wanted(evidence_id, document, rule, keep, units): a quote may ask under several rules.
+    """
     seen = chunks.select("document", F.explode(unit).alias("unit")).groupBy("document", "unit").agg(F.count("*").alias("df"))
-    mine = quotes.select(F.col("key").alias("evidence_id"), "document", keep.alias("keep"), F.explode(unit).alias("unit"))
-    known = mine.join(seen, ["document", "unit"], "left").select("evidence_id", "document", "keep", "unit", F.coalesce("df", F.lit(0)).alias("df"))
-    order = Window.partitionBy("evidence_id", "document").orderBy("df", "unit")
-    return known.withColumn("n", F.row_number().over(order)).where("n <= keep and df > 0").select("evidence_id", "document", "unit")
+    known = wanted.select("evidence_id", "document", "rule", "keep", F.explode("units").alias("unit")).join(seen, ["document", "unit"])
+    order = Window.partitionBy("evidence_id", "document", "rule").orderBy("df", "unit")
+    return known.withColumn("n", F.row_number().over(order)).where("n <= keep").select("evidence_id", "document", "unit").distinct()
 
 
 def match_quotes(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -38,13 +40,10 @@ def match_quotes(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     tokens = blank_tokens(F.col("norm"))
     quotes = evidence.withColumns({"tokens": F.array_distinct(tokens), "n_words": F.size(tokens), "inner": F.array_distinct(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))})
     pool = chunks.withColumn("tokens", F.array_distinct(tokens))
-    long, short = quotes.where(F.col("n_words") >= SHINGLE), quotes.where(F.col("n_words") < SHINGLE)
     enough = lambda unit, share: (F.floor(F.size(unit) * (1 - share) + 1e-9) + 1).cast("int")
-    inner = quotes.where("n_words >= 3").drop("tokens").withColumnRenamed("inner", "tokens")
-    keys = {
-        "grams": _rarest(long, pool, "grams", enough("grams", SHINGLE_COVERAGE)),
-        "tokens": _rarest(short, pool, "tokens", enough("tokens", TOKEN_COVERAGE)).unionByName(_rarest(quotes.where("n_words < 3"), pool, "tokens", F.lit(2))).unionByName(_rarest(inner, pool, "tokens", F.lit(1))),
-    }
+    ask = lambda which, rule, keep, units: quotes.where(which).select(F.col("key").alias("evidence_id"), "document", F.lit(rule).alias("rule"), keep.alias("keep"), F.col(units).alias("units"))
+    by_token = ask(f"n_words < {SHINGLE}", "cover", enough("tokens", TOKEN_COVERAGE), "tokens").unionByName(ask("n_words < 3", "short", F.lit(2), "tokens")).unionByName(ask("n_words >= 3", "inside", F.lit(1), "inner"))
+    keys = {"grams": _rarest(ask(f"n_words >= {SHINGLE}", "cover", enough("grams", SHINGLE_COVERAGE), "grams"), pool, "grams"), "tokens": _rarest(by_token, pool, "tokens")}
     met = None
     for unit, wanted in keys.items():
         held = pool.join(wanted.select("document").distinct(), "document", "left_semi").select(F.col("key").alias("chunk_id"), "document", F.explode(unit).alias("unit"))
