@@ -50,7 +50,8 @@ def set_and_clear_runs(intervals: DataFrame) -> DataFrame:
     # Per label, in time order: one summary per non-empty shard, and the whole stretches of shards.
     summary = inner.groupBy("label", "shard").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     units = summary.select("label", "shard", "lo", "hi").unionByName(whole.withColumn("shard", F.lit(None).cast("bigint")))
-    by_time = Window.partitionBy("label").orderBy("lo", F.col("hi").desc())
+    # A stretch of just one shard ties with that shard's summary and must be seen before it.
+    by_time = Window.partitionBy("label").orderBy("lo", F.col("hi").desc(), F.col("shard").asc_nulls_first())
     so_far = by_time.rowsBetween(Window.unboundedPreceding, -1)
     ordered = units.select(
         "label", "shard", "lo", "hi", F.max("hi").over(so_far).alias("reach"),

@@ -52,6 +52,13 @@ def test_long_intervals_cross_shards(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_one_whole_shard_under_two_inner_runs(spark):
+    w = spans.SHARD
+    rows = [(f"l{i}", *x) for i in range(40) for x in ((10 + i, w + 5), (w + 9, 2 * w + 5), (3, 2 * w + 7 + i))]
+    for turned in (rows, rows[::-1]):
+        assert run(spark, turned) == brute(rows) == {(f"l{i}", "period", 3, 2 * w + 7 + i) for i in range(40)}
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 40), st.integers(-1, 9), st.integers(0, 3)), max_size=30))
 def test_equals_brute_force(spark, drawn):
