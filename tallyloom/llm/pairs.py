@@ -57,7 +57,7 @@ DECLINING = regex.compile(
 IDLE = regex.compile(
     r"""
     ^(?:h+m+|well|oh|ok(?:ay)?|sorry|apologies|regrettably|unfortunately|hello|hi|dear\ \w+|note|sure|certainly|of\ course)\b(?:\W*$|\W.{0,12}$)
-    | ^(?:thank\ you|thanks|many\ thanks|sorry\ for|my\ apologies|i\ apologi[sz]e|good\ (?:question|morning|afternoon)|having\ (?:read|checked|reviewed|searched)|after\ (?:reading|checking|reviewing)|i\ (?:have\ )?(?:read|checked|reviewed|searched|looked)|as\ an?\ (?:ai|assistant|language))\b
+    | ^(?:thank\ you|thanks|many\ thanks|sorry\ for|my\ apologies|i\ apologi[sz]e|good\ (?:question|morning|afternoon)|having\ (?:read|checked|reviewed|searched)|after\ (?:reading|checking|reviewing)|i\ (?:have\ )?(?:\w+ly\ )?(?:read|checked|reviewed|searched|looked)|as\ an?\ (?:ai|assistant|language))\b
     | ^(?:you|one)\ (?:may|might|could|can|should)\ (?:\w+\ ){0,2}(?:ask|contact|consult|check|refer|speak|try)\b | ^(?:please|kindly)\ (?:\w+\ )?(?:ask|contact|consult|check|refer|see|speak|try|provide|rephrase|supply|upload|let)\b
     | ^(?:is\ there\ anything|let\ me\ know|feel\ free|i\ hope|if\ you\ (?:need|have|can|would|like))\b
     | ^(?:bitte\ wenden|bitte\ fragen|wenden\ sie|fragen\ sie|leider$|danke|vielen\ dank|entschuldigung|es\ tut\ mir\ leid) | ^(?:veuillez|adressez|désolée?$|merci|je\ suis\ désolée?$|vous\ pouvez\ (?:demander|contacter)|contactez)
@@ -193,34 +193,79 @@ def sentences_of(text: str) -> list[str]:
 
 
 _LEAD = regex.compile(r"^[^.:]{0,40}:\s")
-
-
-def declines(sentence: str) -> bool:
-    """A declining wording, and no part after a joint that gives something instead."""
-    s = " ".join(sentence.casefold().split())
-    if len(folded_words(s)) > 30 or _NUMBER.search(s) or not DECLINING.search(s):
+# Numbers that tell nothing about the matter: references to sources, and how many sources there are.
+_REFERENCE = regex.compile(r"\[\d{1,3}\]|\bpages?\ \d+\s?(?:-|–|to)\s?\d+\b|\b\d+\ (?:(?!of\b|in\b)\w+\ )?(?:documents|pages|sources|extracts|records|passages|files|reports|seiten|dokumente\w*|quellen|documentos|páginas|fuentes|dokument\w+|stron\w*)\b")
+_ITEM_NUMBER = regex.compile(r"(?m)^\s*\d{1,2}[.)]\s+(?=\p{L})")
+_CLAUSE = regex.compile(r"[,;:]|\b(?:and|so|because|und|weil|et|car|y|porque|oraz|ponieważ)\b")
+# Words that speak of the sources, the question and the answering only.
+OF_SOURCES = set("""document documents source sources page pages extract extracts record records passage passages file files report reports context text texts material materials information detail details data
+    question questions answer answers matter subject point topic statement statements anything something nothing read reading checked searched reviewed looked went gone given giving give supplied provided retrieved asked ask
+    find found finding hold holds held contain contains contained mention mentions mentioned state states stated say says said tell know known available able unable cannot cant sorry regret afraid unfortunately regrettably
+    therefore carefully please help assist further still yet whatsoever none neither nor without against like""".split())
+#: Words of a sentence up to which its declining wording alone decides, and share of new words beyond which a longer one tells something.
+PLAIN_WORDS, MOST_NEW = 30, 0.25
+
+
+def _holds_declining(s: str) -> bool:
+    """DECLINING anywhere; long texts in overlapping windows, so that its gaps cost time in proportion."""
+    words = s.split(" ")
+    if len(words) <= 2 * PLAIN_WORDS:
+        return bool(DECLINING.search(s))
+    return any(DECLINING.search(" ".join(words[i : i + 2 * PLAIN_WORDS])) for i in range(0, len(words) - PLAIN_WORDS, PLAIN_WORDS))
+
+
+def _tells_more(s: str, question: str) -> bool:
+    """A long sentence that says much in words that are neither of the question nor about sources and answering."""
+    asked = set(folded_words(question.casefold()))
+    new = lambda words: sum(not (w in asked or w in OF_SOURCES or w in _LANGUAGES_OF or w.isdigit()) for w in words)
+    words = folded_words(s)
+    return new(words) > MOST_NEW * len(words) or any(new(folded_words(c)) > 3 and not _holds_declining(c) for c in _CLAUSE.split(s))
+
+
+def without_label(sentence: str) -> str:
+    """The sentence without a lead that is a label only, like 'Question 3:'."""
+    m = _LEAD.match(sentence)
+    return sentence[m.end() :] if m and all(w in LABELS or w.isdigit() for w in folded_words(m.group())) else sentence
+
+
+def declines(sentence: str, question: str = "") -> bool:
+    """A declining wording that gives no number but the question's, and no part after a joint that gives something instead."""
+    s = " ".join(without_label(sentence).casefold().split())
+    if _NUMBER.search(s) and not set(_NUMBER.findall(_REFERENCE.sub(" ", s))) <= set(_NUMBER.findall(question)):
+        return False
+    if not _holds_declining(s):
         return False
-    s = _LEAD.sub("", s) if not DECLINING.search(s.partition(":")[0]) else s
+    s = _LEAD.sub("", s) if not DECLINING.search(s[:41].partition(":")[0]) else s
     parts = TURN.split(s)
     for part in parts[::2]:
         words = folded_words(part)
-        if len(words) > 3 and not DECLINING.search(part) and not IDLE.search(part.strip()):
+        if len(words) > 3 and not _holds_declining(part) and not IDLE.search(part.strip()):
             return False
-    return True
+    return len(folded_words(s)) <= PLAIN_WORDS or not _tells_more(s, question)
 
 
 def opening_key(sentence: str) -> str:
     return " ".join("#" if w.isdigit() else w for w in folded_words(sentence))
 
 
+def without_citations(text: str) -> str:
+    """The text without the run of citations at its end, however long."""
+    while True:
+        text = text.rstrip()
+        rest = text[:-400] + _CITATION.sub("", text[-400:])
+        if rest == text:
+            return text
+        text = rest
+
+
 def refusal_parts(answer: str, question: str) -> list[str]:
     """Keys of the declining sentences, where no other sentence has substance; else none."""
     rest, _ = without_question(answer, question)
     keys = []
-    for s in sentences_of(rest):
+    for s in sentences_of(_ITEM_NUMBER.sub("", without_citations(rest))):
         tail = s.partition(":")[2].strip() if IDLE.search(s.casefold()) and ":" in s else ""
-        if declines(tail or s):
-            keys.append(opening_key(tail or s))
+        if declines(tail or s, question):
+            keys.append(opening_key(without_label(tail or s)))
         elif not (IDLE.search(" ".join(s.casefold().split()))):
             return []
     return keys

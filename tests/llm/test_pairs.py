@@ -27,6 +27,39 @@ def test_not_declining(text):
     assert not P.refusal_parts(P.clean(text), Q)
 
 
+ASKED = "What is the reading for circuit 4?"
+LONG = "Having gone through every one of the extracts that were retrieved for this question, I regret to say that none of them holds a statement on this matter, and I am therefore unable to give you an answer to it."
+
+
+@pytest.mark.parametrize("text", ["I cannot find the reading for circuit 4 in the documents.", "Question 3: unable to determine.", "1. I cannot find this in the documents. [3]", "None of the 12 pages mentions it.", LONG, LONG + " (D.pdf, page 3)"])
+def test_declining_with_numbers_or_at_length(text):
+    assert P.refusal_parts(P.clean(text), ASKED)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["I cannot find the reading for circuit 5 in the documents.", "Cavity barriers could not be verified behind the panels at level 12.", "I could not find it in the summary, see page 7 of the report.", "The rating is 30: no information beyond it.",
+     "The inspector was unable to open the riser cupboard door on the third floor landing next to the lift motor room of the east wing of the building during the visit in the morning of the second day of the survey."],
+)
+def test_not_declining_with_numbers_or_at_length(text):
+    assert not P.refusal_parts(P.clean(text), ASKED)
+
+
+def test_refusals_with_numbers_are_found(spark):
+    said = ["I cannot find the reading for circuit 4 in the documents.", "Question 3: unable to determine.", LONG]
+    rows = [(10 * i + j, f"{q} Circuit 4?", a, True, True, "x", "y") for i, a in enumerate(said) for j, q in enumerate(["Who tests the alarm?", "What does the survey of the roof advise?"])]
+    assert {r.record_id: r.defect for r in P.find_defects(spark.createDataFrame(rows, REC)).collect()} == {r[0]: "refusal" for r in rows}
+
+
+def test_many_declining_words_stay_quick():
+    import time
+
+    began = time.time()
+    for text in ("I cannot xyz " * 50_000, "does not xyz " * 50_000, "[3] " * 20_000, "it is, " * 50_000 + "unable to say"):
+        P.refusal_parts(P.clean(text), ASKED)
+    assert time.time() - began < 30
+
+
 @pytest.mark.parametrize(("text", "yes"), [(Q, True), (Q.upper(), True), (f"**{Q}**\n\n{Q}", True), (f"Question: {Q}\nAnswer:", True), (f"You asked: {Q}", True), (Q[:-1] + ".", True), (f"You asked: {Q} FD30.", False), ("FD30.", False), ("what fire door rating does the assessment", True)])
 def test_copied(text, yes):
     assert P.is_copied(P.clean(text), P.clean(Q)) is yes
