@@ -494,19 +494,14 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[keep, ["part", "other"]]
 
 
-def cluster_openings(openings: DataFrame) -> DataFrame:
-    """(part, cluster): distinct openings joined by verified similarity, cluster named by its least member.
+def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(k, g, len(grams)) for k in pdf["part"] for grams in [shingles(k)] for g in grams]
+        yield pd.DataFrame(rows, columns=["part", "gram", "size"])
 
-    Members of a band are linked to the band's least member and to the next one in order, so a band of m members
-    gives at most 2m candidate links; labels then travel along verified links until none changes.
-    """
-    parts = openings.select("part").distinct()
-    banded = parts.mapInPandas(_band_rows, "band bigint, part string")
-    crowd = banded.join(banded.groupBy("band").agg(F.min("part").alias("least"), F.count("*").alias("n")).where("n > 1"), "band")
-    after = F.lag("part").over(Window.partitionBy("band").orderBy("part"))
-    pairs = crowd.withColumn("before", after).select("part", F.explode(F.array("least", "before")).alias("other")).where("other is not null and other <> part").distinct()
-    links = pairs.mapInPandas(_verified, "part string, other string")
-    links = materialise(links.union(links.select("other", "part")).distinct())
+
+def _labels_of(links: DataFrame) -> DataFrame:
+    """(part, cluster) of all linked parts: labels travel along links, given both ways, until none changes."""
     labels = materialise(links.select("part").distinct().withColumn("cluster", F.col("part")))
     changed = not links.isEmpty()
     while changed:
@@ -515,6 +510,41 @@ def cluster_openings(openings: DataFrame) -> DataFrame:
         step = materialise(step)
         changed = not step.where("moved").isEmpty()
         labels = step.drop("moved")
+    return labels
+
+
+def _pairs_apart(parts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(part, other): all pairs that may be similar and have no common label yet.
+
+    Of two similar sets of n shingles, at least 0.8 n are common, so that any n - 0.8 n + 1 of the one hold a common one;
+    each part is looked up by that many of its rarest.
+    """
+    grams = parts.mapInPandas(_gram_rows, "part string, gram string, size int")
+    rare = grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("df", "gram")))
+    rare = rare.where(F.col("n") <= F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1).join(labels, "part", "left").select("gram", "part", "size", F.coalesce("cluster", "part").alias("cluster"))
+    other = rare.select("gram", F.col("part").alias("other"), F.col("size").alias("other_size"), F.col("cluster").alias("other_cluster"))
+    near = (F.col("part") < F.col("other")) & (F.col("cluster") != F.col("other_cluster")) & (F.least("size", "other_size") >= F.greatest("size", "other_size") * SIMILARITY - 1e-9)
+    return rare.join(other, "gram").where(near).select("part", "other").distinct()
+
+
+def cluster_openings(openings: DataFrame) -> DataFrame:
+    """(part, cluster): distinct openings joined by verified similarity, cluster named by its least member.
+
+    Members of a band are linked to the band's least member and to the next one in order, which joins most with at most
+    2m links for m members; then every other pair that can be similar is met by its rarest shingles and verified too,
+    unless it is in one cluster already. So the clusters are those of all pairs.
+    """
+    parts = materialise(openings.select("part").distinct())
+    banded = parts.mapInPandas(_band_rows, "band bigint, part string")
+    crowd = banded.join(banded.groupBy("band").agg(F.min("part").alias("least"), F.count("*").alias("n")).where("n > 1"), "band")
+    after = F.lag("part").over(Window.partitionBy("band").orderBy("part"))
+    pairs = crowd.withColumn("before", after).select("part", F.explode(F.array("least", "before")).alias("other")).where("other is not null and other <> part").distinct()
+    both_ways = lambda pairs: (x := pairs.mapInPandas(_verified, "part string, other string")).union(x.select("other", "part")).distinct()
+    links = materialise(both_ways(pairs))
+    labels = _labels_of(links)
+    late = materialise(both_ways(_pairs_apart(parts, labels)))
+    if not late.isEmpty():
+        labels = _labels_of(materialise(links.union(late)))
     return parts.join(labels, "part", "left").select("part", F.coalesce("cluster", "part").alias("cluster"))
 
 

@@ -13,6 +13,30 @@ def test_clusters_are_verified(spark):
     assert P.cluster_openings(spark.createDataFrame([], "part string")).count() == 0
 
 
+def test_clusters_equal_brute_force(spark):
+    import random
+
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(44)]
+    keys = set()
+    for _ in range(160):
+        words = list(base)
+        for at in draw.sample([0, 1, 2, 41, 42, 43, 20, 24], 3):
+            words[at] = f"n{draw.randrange(12)}"
+        keys.add(" ".join(words))
+    keys = sorted(keys)
+    cluster = {k: k for k in keys}
+    grams = {k: P.shingles(k) for k in keys}
+    for x in keys:
+        for y in keys:
+            if cluster[x] != cluster[y] and len(grams[x] & grams[y]) >= P.SIMILARITY * len(grams[x] | grams[y]):
+                one, two = sorted((cluster[x], cluster[y]))
+                cluster = {k: one if c == two else c for k, c in cluster.items()}
+    assert 1 < len(set(cluster.values())) < len(keys)
+    got = {r.part: r.cluster for r in P.cluster_openings(spark.createDataFrame([(k,) for k in keys], "part string")).collect()}
+    assert got == cluster
+
+
 @pytest.mark.parametrize(
     "text", ["I cannot find this in the documents provided.", "Hm. Unable to determine.", "Thank you for the question. I don’t have access to that detail.", "THE SUPPLIED DOCUMENTS DO NOT CONTAIN THIS INFORMATION. You may wish to ask the caretaker.", "Leider kann ich diese Frage nicht beantworten.", "Having read all pages: Unfortunately, the context is silent on this point.", f"You asked: {Q} I would need further documents before I could say.", "Désolé, je ne peux pas répondre à cette question."],
 )
