@@ -1,7 +1,8 @@
 """Template residue, filler, error pages and script notices inside documents.
 
 A multi-pattern automaton finds all phrases in one pass over a segment (a sentence or line). A segment counts when
-matched text covers most of it, or when the match stands alone as its opening; unmistakable phrases count anywhere
+matched text covers most of it and no words of a report come before, or when the match stands alone as its opening;
+for phrases that address a reader a lower coverage or a capital first letter is enough, and code counts anywhere
 outside quotation marks. Placeholders and stack traces have a syntax instead of a wording and are matched by it.
 """
 
@@ -17,49 +18,52 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-# Phrases that occur in such text only.
+# Phrases that tell or address a reader as only such text does; they count from a lower coverage on.
 PLAIN_SIGNS = {
     "script": """
-        please enable javascript; enable javascript to; enable javascript in your browser; javascript is disabled; javascript is required; javascript is turned off
-        javascript must be allowed; javascript must be enabled; requires javascript to; you need to turn on scripts; turn on javascript; activate javascript
+        please enable javascript; enable javascript to; enable javascript in your browser
+        requires javascript to; you need to turn on scripts; turn on javascript; activate javascript
         requires a browser with script support; switch off your script blocker; works only with active scripting; reload with scripting switched on
         client-side code could not be started; your browser is not supported; your browser does not support javascript; allow scripts to run on this
-        bitte aktivieren sie javascript; javascript ist deaktiviert; diese seite benötigt javascript; javascript muss aktiviert
-        veuillez activer javascript; javascript est désactivé; activez javascript; cette page nécessite javascript
-        active javascript para; habilite javascript; javascript está desactivado; javascript está deshabilitado; debe activar javascript
-        włącz obsługę javascript; włącz javascript; obsługa javascript jest wyłączona; ta strona wymaga javascript
+        bitte aktivieren sie javascript; diese seite benötigt javascript
+        veuillez activer javascript; activez javascript; cette page nécessite javascript
+        active javascript para; habilite javascript; debe activar javascript
+        włącz obsługę javascript; włącz javascript; ta strona wymaga javascript
     """,
     "error": """
-        traceback (most recent call last); mysqli_connect(); could not connect to database; connection refused in; upstream timeout; the upstream service did not answer
-        http status 4; http status 5; 404 not found; 403 forbidden; 500 internal server error; 502 bad gateway; 503 service unavailable; 504 gateway timeout
+        could not connect to database; connection refused in; the upstream service did not answer
         the requested page could not be; requested url was not found; page can't be found; page cannot be found; the page you are looking for; the page you requested
-        the resource you asked for was removed; your session has expired; please sign in again; you do not have permission to view; you are not authorised to view
-        this link has expired; request a new one from the sender; an unexpected problem occurred; the record was not loaded; the portal is down for maintenance
+        the resource you asked for was removed; please sign in again; you do not have permission to view; you are not authorised to view
+        request a new one from the sender; an unexpected problem occurred; the record was not loaded
         this file is no longer available; something went wrong while loading; go back to the home page; wait a moment and reload; an error occurred while processing your request
-        seite nicht gefunden; interner serverfehler; die seite wurde nicht gefunden; ein fehler ist aufgetreten; sitzung ist abgelaufen; zugriff verweigert
-        bitte prüfen sie die eingegebene adresse; versuchen sie es später erneut
-        page introuvable; erreur interne du serveur; une erreur s'est produite; votre session a expiré; vérifiez l'adresse saisie; veuillez réessayer plus tard
-        página no encontrada; error interno del servidor; se ha producido un error; su sesión ha caducado; vuelva a intentarlo más tarde; compruebe la dirección
-        nie znaleziono strony; wewnętrzny błąd serwera; wystąpił błąd; sesja wygasła; spróbuj ponownie później; strona nie istnieje
+        seite nicht gefunden; interner serverfehler; die seite wurde nicht gefunden
+        bitte prüfen sie die eingegebene adresse
+        page introuvable; erreur interne du serveur; vérifiez l'adresse saisie
+        página no encontrada; error interno del servidor; compruebe la dirección
+        nie znaleziono strony; wewnętrzny błąd serwera; strona nie istnieje
     """,
     "filler": """
-        lorem ipsum; dolor sit amet; your text goes here; your text here; text goes here; type your summary here; type your text here; click here to enter text; insert text here
-        dummy content; dummy text; placeholder text; filler text; sample body copy; sample heading; sample text; replace this paragraph; replace this text; this is a placeholder
-        hier steht später ihr text; hier text einfügen; ihr text hier; platzhaltertext; blindtext blindtext
+        dolor sit amet; your text goes here; your text here; text goes here; type your summary here; type your text here; click here to enter text; insert text here
+        dummy content; sample body copy; sample heading; replace this paragraph; replace this text; this is a placeholder
+        hier steht später ihr text; hier text einfügen; ihr text hier; blindtext blindtext
         votre texte ici; texte de remplissage; texte factice; insérez votre texte
         texto de relleno; su texto aquí; texto de ejemplo; escriba aquí su texto
         tekst zastępczy; tutaj wpisz tekst; twój tekst tutaj; miejsce na tekst; przykładowy tekst; tu będzie tekst
     """,
 }
+# Phrases of code, which count anywhere outside quotation marks.
+CODE_SIGNS = {"error": "traceback (most recent call last); mysqli_connect()"}
 # Phrases that also occur in real sentences and count only when they make up a segment or open it alone.
 STANDING_ALONE = {
-    "script": "javascript; cookies and javascript; scripting; to view this page; to continue; please enable scripts; enable scripts",
+    "script": "javascript; cookies and javascript; scripting; to view this page; to continue; please enable scripts; enable scripts; javascript is disabled; javascript is required; javascript is turned off; javascript must be allowed; javascript must be enabled; javascript ist deaktiviert; javascript muss aktiviert; javascript est désactivé; javascript está desactivado; javascript está deshabilitado; obsługa javascript jest wyłączona",
     "error": """
         access denied; forbidden; gone; bad gateway; gateway timeout; too many requests; service unavailable; not found; page not found; file not found; internal server error; server error
         oops; please try again later; try again later; please try again; contact the administrator; request id; service temporarily unavailable; unauthorized; timed out; request timed out
         that page; use search; sprawdź adres; zugriff verweigert; accès refusé; acceso denegado; odmowa dostępu; sorry
+        http status 4; http status 5; 404 not found; 403 forbidden; 500 internal server error; 502 bad gateway; 503 service unavailable; 504 gateway timeout; upstream timeout; your session has expired
+        this link has expired; the portal is down for maintenance; ein fehler ist aufgetreten; sitzung ist abgelaufen; zugriff verweigert; versuchen sie es später erneut; veuillez réessayer plus tard; vuelva a intentarlo más tarde; spróbuj ponownie później; wystąpił błąd; sesja wygasła; une erreur s'est produite; votre session a expiré; se ha producido un error; su sesión ha caducado
     """,
-    "filler": "blindtext; lorem",
+    "filler": "blindtext; lorem; lorem ipsum; dummy text; placeholder text; filler text; sample text; platzhaltertext",
 }
 # Words of the usual mock Latin.
 MOCK_LATIN = set("""lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation
@@ -105,11 +109,11 @@ def _is_field(inner: str) -> bool:
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
-    for alone, table in ((False, PLAIN_SIGNS), (True, STANDING_ALONE)):
+    for rank, table in enumerate((CODE_SIGNS, PLAIN_SIGNS, STANDING_ALONE)):
         for kind, listed in table.items():
             for phrase in re.split(r";|\n", listed):
                 if phrase := phrase.strip():
-                    auto.add_word(phrase, (len(phrase), alone, kind))
+                    auto.add_word(phrase, (len(phrase), rank, kind))
     auto.make_automaton()
     return auto
 
@@ -118,32 +122,40 @@ def _fold(text: str) -> str:
     return " ".join(text.replace("’", "'").lower().split())
 
 
+#: Share of a segment's letters and digits that must be matched, for phrases that address a reader and for others.
+PLAIN_SHARE, SHARE = 0.4, 0.6
+# Words that may come before a message without making it a report of one.
+BEFORE_MESSAGE = set("error http status code warning notice message fehler erreur error błąd aviso hinweis page site the this we your diese die cette esta ta".split())
+
+
 def _segment_sign(segment: str) -> tuple[str, float] | None:
-    """(kind, coverage) of a segment that is or opens with such text, or holds an unmistakable phrase."""
+    """(kind, coverage) of a segment that is or opens with such text, or holds code."""
     open_text = " ".join(_QUOTED.sub(lambda m: " ┃ " if len(m.group()) < len(segment) - 2 else m.group(), segment).replace("’", "'").split())
     folded = open_text.lower()
     if len(folded) != len(open_text):
         open_text = folded
     covered = bytearray(len(folded))
-    plain = alone = None
-    for end, (length, stands_alone, kind) in _automaton().iter(folded):
+    kinds: dict[int, str] = {}
+    begins, shouted = False, open_text.isupper()
+    for end, (length, rank, kind) in _automaton().iter(folded):
         start = end - length + 1
         if (start and folded[start - 1].isalnum()) or (end + 1 < len(folded) and folded[end + 1].isalnum() and folded[end].isalpha()):
             continue
         covered[start : end + 1] = b"\1" * length
-        if stands_alone:
-            alone = alone or kind
-        else:
-            plain = plain or kind
-    if not (plain or alone):
+        kinds.setdefault(rank, kind)
+        begins |= rank == 1 and open_text[start].isupper() and not shouted  # a sentence of its own after a text without a stop
+    if not kinds:
         return None
+    kind = kinds[min(kinds)]
     letters = [i for i, ch in enumerate(folded) if ch.isalnum()]
     share = sum(covered[i] for i in letters) / max(1, len(letters))
-    if plain:
-        return plain, share
-    block = next((i for i in letters if not covered[i]), len(folded))
-    opens = block and covered[letters[0]] and (block == len(folded) or open_text[block].isupper() and share * len(letters) >= 6)
-    return (alone, share) if share >= 0.6 or opens else None
+    if 0 in kinds or begins or 1 in kinds and share >= PLAIN_SHARE:
+        return kind, share
+    if share >= SHARE and all(w in BEFORE_MESSAGE or w.isdigit() for w in _PLAIN_WORD.findall(folded[: covered.find(1)])):
+        return kind, share
+    block = next((i for i in letters if not covered[i] and not folded[i].isdigit()), len(folded))
+    opens = letters and covered[letters[0]] and (block == len(folded) or open_text[block].isupper() and share * len(letters) >= 6)
+    return (kind, share) if opens else None
 
 
 def _mock_words(text: str) -> bool:

@@ -16,6 +16,23 @@ GOOD = [
 ]
 
 
+MENTIONED = [
+    "Residents reported that javascript is disabled on the lobby terminal.", "JavaScript is disabled on the terminal in the lobby of the east wing.", "a request timed out with 504 gateway timeout", "During the test a request timed out with 504 gateway timeout.",
+    "Wir haben Sie nicht angetroffen, bitte versuchen Sie es später erneut.", "The draft still held lorem ipsum in two places of the second annex.", "The contractor said that the page you are looking for had been moved to the archive of the managing agent.",
+]
+SHOWN = ["JavaScript is disabled.", "504 Gateway Timeout", "HTTP Status 403 - Forbidden The lift was returned to service.", "Type your summary here A signal was lost for 7 hours.", "To use the records viewer, switch off your script blocker and refresh.", "Versuchen Sie es später erneut.", "Error: 502 bad gateway", "The doors on all floors were checked and found to close without a fault Please enable JavaScript to view this page", "The doors were checked and Traceback (most recent call last) came."]
+
+
+@pytest.mark.parametrize("text", MENTIONED)
+def test_unquoted_mentions(text):
+    assert R.signs(text) == []
+
+
+@pytest.mark.parametrize("text", SHOWN)
+def test_messages_themselves(text):
+    assert R.signs(text)
+
+
 @pytest.mark.parametrize("text", BAD)
 def test_residue(text):
     assert R.signs(text)
