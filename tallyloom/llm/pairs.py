@@ -392,7 +392,7 @@ def _of_question(question: str | None) -> tuple[str, str, str | None]:
     return _short_question(q) if len(q) < 2000 else _short_question.__wrapped__(q)
 
 
-SPLIT_SCHEMA = "record_id {id}, question_key string, answerable boolean, defect string, parts array<string>, ends array<bigint>, short_end boolean"
+SPLIT_SCHEMA = "record_id {id}, question_key string, answerable boolean, defect string, parts array<string>, ends array<bigint>, short_end boolean, sole boolean"
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -400,32 +400,32 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for rid, question, answer, answerable in zip(pdf["record_id"], pdf["question"], pdf["answer_text"], pdf["answerable"]):
             a, (q, key, lang_q) = clean(answer), _of_question(question)
-            defect, parts, ends, short = None, [], [], False
+            defect, parts, ends, short, sole = None, [], [], False, False
             if not folded_words(a):
                 defect = "empty"
             elif is_copied(a, q):
                 defect = "copied"
             else:
                 parts = refusal_parts(a, q)
-                if not parts:
-                    rest, _ = without_question(a, q)
-                    lang_a = language_of(rest)[0]
-                    if lang_a and lang_q and lang_a != lang_q:
-                        defect = "other_language"
-                    else:
-                        body = body_of(answer)
-                        state = end_state(body)
-                        if state == "open":
-                            defect = "truncated"
-                        elif state == "unclear":
-                            codes = np.array(token_codes(body), np.uint64)
-                            ends = [int(contexts(codes, n)[-1].astype(np.int64)) for n in CONTEXTS]
-                            words = folded_words(body)
-                            short = len(words) <= 4 or words[-1] in YES_NO and len(words) <= 2
-                            if len(words) == 1 and words[0] in YES_NO:
-                                ends, short = [], False
-            rows.append((rid, key, None if answerable is None else bool(answerable), defect, parts, ends, short))
-        yield pd.DataFrame(rows, columns=["record_id", "question_key", "answerable", "defect", "parts", "ends", "short_end"])
+                rest, _ = without_question(a, q)
+                body = body_of(answer)
+                state = end_state(body)
+                # A clause that breaks off has not declined yet, unless another sentence has.
+                sole = len(parts) == 1 and opening_key(sentences_of(without_citations(rest))[-1]).endswith(parts[0])
+                lang_a = language_of(rest)[0]
+                if lang_a and lang_q and lang_a != lang_q:
+                    defect = "other_language"
+                elif state == "open":
+                    defect = "truncated"
+                elif state == "unclear":
+                    codes = np.array(token_codes(body), np.uint64)
+                    ends = [int(contexts(codes, n)[-1].astype(np.int64)) for n in CONTEXTS]
+                    words = folded_words(body)
+                    short = len(words) <= 4 or words[-1] in YES_NO and len(words) <= 2
+                    if len(words) == 1 and words[0] in YES_NO:
+                        ends, short = [], False
+            rows.append((rid, key, None if answerable is None else bool(answerable), defect, parts, ends, short, sole))
+        yield pd.DataFrame(rows, columns=["record_id", "question_key", "answerable", "defect", "parts", "ends", "short_end", "sole"])
 
 
 def _count_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -553,7 +553,7 @@ def judge_pairs(records: DataFrame) -> DataFrame:
 
     Takes record_id, question, answer_text, answerable, linked. Records not linked have no row; repeated rows count
     once; null and blank answers are empty; a null question can neither be copied nor set the language. Refusals
-    are named whether or not the question is answerable; callers filter.
+    are named whether or not the question is answerable (callers filter), but where it is not, other defects go first.
     """
     used = ["record_id", "question", "answer_text", "answerable"]
     # One shuffle serves the repeats and spreads the reading of the texts over all cores.
@@ -576,11 +576,14 @@ def judge_pairs(records: DataFrame) -> DataFrame:
     finished = F.col("c.ended") + F.when(F.col("c.short_end"), F.col("c.broke_off")).otherwise(F.lit(0))
     share = finished / (finished + F.col("c.went_on"))
     verdicts = best.select("record_id", (share < LEAST_ENDING).alias("goes_on"))
-    cut = judged.where("size(ends) > 0").select("record_id").join(verdicts, "record_id", "left").select("record_id", F.coalesce("goes_on", F.lit(True)).alias("goes_on"))
+    cut = judged.where("size(ends) > 0").select("record_id").join(verdicts, "record_id", "left").select("record_id", F.coalesce("goes_on", F.lit(True)).alias("goes_on"), F.coalesce("goes_on", F.lit(False)).alias("seen_open"))
 
+    # Refusals go first where they are reported, unless all they say breaks off.
+    cut_short = F.col("sole") & (F.coalesce(F.col("defect") == "truncated", F.lit(False)) | F.coalesce("seen_open", F.lit(False)))
+    reported = F.col("refusal") & F.col("answerable") & ~cut_short
     return (
-        judged.select("record_id", "answerable", "defect").join(refusals, "record_id", "left").join(cut, "record_id", "left")
-        .select("record_id", F.coalesce("defect", F.when(F.col("refusal"), "refusal"), F.when(F.col("goes_on"), "truncated")).alias("defect"), "answerable")
+        judged.select("record_id", "answerable", "defect", "sole").join(refusals, "record_id", "left").join(cut, "record_id", "left")
+        .select("record_id", F.coalesce(F.when(reported, "refusal"), "defect", F.when(F.col("goes_on"), "truncated"), F.when(F.col("refusal"), "refusal")).alias("defect"), "answerable")
     )
 
 

@@ -75,6 +75,16 @@ def test_refusals_with_numbers_are_found(spark):
     assert {r.record_id: r.defect for r in P.find_defects(spark.createDataFrame(rows, REC)).collect()} == {r[0]: "refusal" for r in rows}
 
 
+def test_declining_answers_keep_other_defects(spark):
+    rows = [(i, f"Which rating has door {chr(97 + i % 20)} of the east wing?", "The supplied documents do not contain this information on the door.", False, True) for i in range(20)]
+    rows += [
+        (100, Q, "Leider kann ich diese Frage nicht beantworten.", False, True), (101, "Who tests the alarm?", "Leider kann ich diese Frage nicht beantworten.", True, True), (102, "What does the survey of the roof advise?", "I cannot find this, because the (", False, True),
+        (103, Q, "The supplied documents do not contain", True, True), (104, "Who tests the alarm?", "The supplied documents do not contain", True, True), (105, Q, "I cannot find this in the documents.", True, True), (106, "Who tests the alarm?", "I cannot find this in the documents.", False, True),
+    ]
+    got = {r.record_id: r.defect for r in P.find_defects(spark.createDataFrame([(*r, "x", "y") for r in rows], REC)).collect()}
+    assert got == {100: "other_language", 101: "refusal", 102: "truncated", 103: "truncated", 104: "truncated", 105: "refusal"}
+
+
 def test_many_declining_words_stay_quick():
     import time
 
