@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.functions.text import blank_tokens, normalise_for_match, shingles
+from tallyloom.functions.text import blank_tokens, normalise_for_match, shingles, unescape_twice
 
 SHINGLE, SHINGLE_COVERAGE, TOKEN_COVERAGE = 5, 0.6, 0.9
 
 
 def prepared(df: DataFrame, key: str, document: str, text: str) -> DataFrame:
-    """(key, document, norm, grams): normalised text and its distinct shingles; rows without text are left out, repeats too."""
-    norm = df.where(F.col(key).isNotNull() & F.col(document).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(document).alias("document"), normalise_for_match(F.col(text)).alias("norm")).where("norm <> ''").distinct()
+    """(key, document, norm, grams): normalised text and its distinct shingles; rows without text are left out, repeats too.
+
+    Character references are resolved first; only texts with an & go to Python.
+    """
+    whole = F.coalesce(unescape_twice(F.when(F.contains(F.col(text), F.lit("&")), F.col(text))), F.col(text))
+    norm = df.where(F.col(key).isNotNull() & F.col(document).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(document).alias("document"), normalise_for_match(whole).alias("norm")).where("norm <> ''").distinct()
     return norm.withColumn("grams", F.array_distinct(shingles(blank_tokens(F.col("norm")), SHINGLE)))
 
 

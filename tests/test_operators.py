@@ -175,3 +175,13 @@ def test_pool_and_ratio_checks(spark):
     assert {(r.check_name, r.cell) for r in checks.verify_pools(pools, 5).where("status = 'fail'").collect()} == {("serves_k", "b"), ("one_width", "b"), ("none_missing", "b")}
     cells = spark.createDataFrame([("a", 0.004, 0.8, 0.005), ("b", 0.006, 0.6, 0.02)], "cell string, num_mean double, den_mean double, ratio double")
     assert [r.cell for r in checks.verify_ratios(cells).where("status = 'fail'").collect()] == ["b"]
+
+
+def test_quotes_meet_through_character_references(spark):
+    from tallyloom.operators import quotes
+
+    texts = lambda rows: quotes.prepared(spark.createDataFrame(rows, "id int, doc string, text string"), "id", "doc", "text")
+    chunks = texts([(1, "d", "The caf&amp;#233; door &lt;b&gt;must&lt;/b&gt; close by itself at all times."), (2, "d", "Another text without any reference."), (3, "d", "R&D rooms"), (4, "d", None)])
+    evidence = texts([(7, "d", "café door must close by itself"), (8, "d", "Another text &#119;ithout any")])
+    assert {(r.evidence_id, r.chunk_id, r.method) for r in quotes.match_quotes(evidence, chunks).collect()} == {(7, 1, "containment"), (8, 2, "containment")}
+    assert {r.key: r.norm for r in chunks.collect()}[3] == "r d rooms"
