@@ -280,8 +280,7 @@ _TOKEN = re.compile(r"(?:[^\W_]|#)+(?:[.,'\-/:](?:[^\W_]|#)+)*|[.!?…]+(?=[\s\"
 
 def body_of(text: str | None) -> str:
     """The answer without trailing citations and blanks."""
-    s = clean(text)
-    return (s[:-400] + _CITATION.sub("", s[-400:])).rstrip()
+    return without_citations(clean(text))
 
 
 @lru_cache(maxsize=500_000)

@@ -109,6 +109,10 @@ def test_ends(text, state):
     assert P.end_state(P.body_of(text)) == state
 
 
+def test_a_long_run_of_citations_is_left_out():
+    assert P.body_of("It closes." + " [12]" * 300 + " (Door.pdf, page 3)" * 300) == "It closes."
+
+
 def test_defects_of_a_small_log(spark):
     rows = []
     for i in range(40):
