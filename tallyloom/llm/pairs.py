@@ -1,9 +1,13 @@
 """Defective answers of question and answer pairs: empty, copied, refusal, other_language, truncated.
 
-Refusals show as templates: openings of answers are clustered by MinHash, every link verified by the Jaccard
-similarity of the word shingles themselves, and a declining template that recurs under unrelated prompts is a
-refusal where nothing else of substance stands beside it. Where a sentence stops short is learnt from all answers:
-how often the last words before the end of a text end a sentence elsewhere, or go on.
+Refusals show as templates: the sentences of all answers that give no number of their own are clustered by MinHash,
+every link verified by the Jaccard similarity of the word shingles themselves, with the words of the own question
+masked. A cluster that recurs under unrelated prompts is a refusal template where it is drawn by questions that can't
+be answered far more often than answers in general, or consists of words of every sentence with none of the matter
+(none of questions and of gold answers), or declines in a known wording with hardly a word of the matter; the wordings
+are the weakest of these signs. An answer is a refusal where such templates and courtesies are all it holds. Where a
+sentence stops short is learnt from all answers: how often the last words before the end of a text end a sentence
+elsewhere, or go on.
 """
 
 from __future__ import annotations
@@ -24,16 +28,24 @@ from tallyloom.session import materialise, shuffle_width
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
-#: Prompts under which a declining template must occur.
-LEAST_PROMPTS = 2
+#: Word overlap (Jaccard) of two questions below which they are unrelated.
+UNRELATED = 0.2
+#: Unrelated prompts beside the template's first one that a known wording needs, and that the other signs need.
+LEAST_SAID, LEAST_TOLD = 1, 3
+#: Odds of unanswerable prompts under a template, at the lower 95 % bound, as a multiple of the odds in all answers;
+#: the least share of them; and the least prompts it is taken from.
+LEAST_ODDS, LEAST_SHARE, LEAST_DRAWN = 3.0, 0.25, 10
+#: A template says nothing where it has that many words, none of the matter, and at most that share of them is neither a
+#: word of every sentence nor one of sources; in a known wording, that share may be of the matter.
+LEAST_WORDS, MOST_OTHER, MOST_MATTER = 4, 0.3, 0.2
 #: Words before the end of a text whose usual continuation is looked up, longest first.
 CONTEXTS = (8, 5, 3, 2, 1)
 #: Share of endings below which a context is taken to go on.
 LEAST_ENDING = 0.15
 
 _UNSEEN = regex.compile(r"[\p{Cf}͏᠋-᠎︀-️]+")
-_CITATION = regex.compile(r"(?:\s*(?:\[\d{1,3}\]|\((?:[^()\n]*\.\w{2,4}\b[^()\n]*|(?:p|pp|page|pages|seite|página|strona)\.? ?\d[^()\n]{0,20})\)))+\s*$", regex.I)
-_WORD, _PLAIN_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+"), re.compile(r"[a-z0-9]+")
+_CITATION = regex.compile(r"\[\d+\]|\((?:[^()\n]*\.\w{2,4}\b[^()\n]*|(?:p|pp|page|pages|seite|página|strona)\.? ?\d[^()\n]*)\)", regex.I)
+_WORD, _PLAIN_WORD, _ASCII_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+"), re.compile(r"[a-z0-9]+"), re.compile(r"[A-Za-z0-9]+")
 # Labels that may stand around a question that is only repeated.
 LABELS = set("""question answer q a you asked your query prompt reply response the is was i re regarding frage antwort sie fragten ihre f pregunta respuesta usted preguntó su p r
     réponse vous avez demandé votre pytanie odpowiedź zapytano twoje""".split())
@@ -89,6 +101,8 @@ _LANGUAGES_OF: dict[str, tuple[str, ...]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
     for _w in set(_words.split()):
         _LANGUAGES_OF[_w] = (*_LANGUAGES_OF.get(_w, ()), _lang)
+#: Words of every sentence in the languages of the logs; those of others are left out, as Dutch "door" is a thing in English.
+COMMON_WORDS = frozenset(w for lang in ("en", "de", "fr", "es", "pl") for w in FUNCTION_WORDS[lang].split())
 # Letters and groups of letters that hint at one language.
 LETTERS = {"de": r"[ßäöü]|sch|ung$|keit$", "fr": r"[çèêàùœîûôâëï]|é|eaux?$", "es": r"[ñáíúó]|ción$|dad$", "pl": r"[łąęśżźćń]|cz|rz|sz|dz|ów$", "pt": r"[ãõ]|ções$", "en": r"ght|th|wh|ing$|tion$"}
 _LETTERS = {lang: regex.compile(x) for lang, x in LETTERS.items()}
@@ -96,7 +110,7 @@ YES_NO = set("yes no ja nein oui non sí si tak nie none n/a".split())
 NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())} | {
     "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "dwa": 2, "trzy": 3, "cztery": 4, "pięć": 5,
 }
-_QUOTED = regex.compile(r"[\"“„«][^\"“”„«»\n]{1,300}[\"”“»]")
+_QUOTED = regex.compile(r"[\"“„«][^\"“”„«»\n]+[\"”“»]")
 _SENTENCE = regex.compile(r"(?<=[.!?…])[\"”’»)]*\s+|\s*[\r\n]+\s*")
 _ITEM = regex.compile(r"^\s*(?:[-*•–]|\d{1,2}[.)]|[a-z][.)])\s+")
 _ANNOUNCED = regex.compile(r"\b(\p{L}+|\d{1,2})\s+\p{L}+(?:\s\p{L}+){0,3}\s*:\s*$", regex.I)
@@ -142,25 +156,29 @@ def without_question(answer: str, question: str) -> tuple[str, bool]:
 
 
 def is_copied(answer: str, question: str) -> bool:
+    return _repeats(answer, question, *without_question(answer, question))
+
+
+def _repeats(answer: str, question: str, rest: str, held: bool) -> bool:
     words, q = folded_words(answer), folded_words(question)
     if not q or not words:
         return False
-    rest, held = without_question(answer, question)
-    left = folded_words(rest)
     if held:
-        return all(w in LABELS for w in left)
-    core = words
-    while core and core[0] in LABELS and core[0] != q[0]:
-        core = core[1:]
+        return all(w in LABELS for w in folded_words(rest))
+    first = next((i for i, w in enumerate(words) if w not in LABELS or w == q[0]), len(words))
+    core = words[first:]
     return len(core) >= 4 and len(core) >= 0.6 * len(q) and (core == q[: len(core)] or core == q[-len(core) :])
 
 
-_SMALL_WORD, _ANY_WORD = regex.compile(r"(?<![\p{L}\p{N}])\p{Ll}{3,}"), regex.compile(r"(?<![\p{L}\p{N}])\p{L}{3,}")
+_LETTERS_FIRST, _SMALL_FIRST = regex.compile(r"\p{L}{3,}"), regex.compile(r"\p{Ll}{3,}")
 
 
-@lru_cache(maxsize=100_000)
-def _hints(word: str) -> tuple[str, ...]:
-    return tuple(lang for lang, hint in _LETTERS.items() if hint.search(word))
+@lru_cache(maxsize=200_000)
+def _votes(word: str, shouted: bool) -> tuple[tuple[str, float], ...]:
+    """What one word says for each language: as a function word, and by the letters of its small part."""
+    out = [(lang, 1.0) for lang in _LANGUAGES_OF.get(word.casefold(), ())]
+    m = _LETTERS_FIRST.match(word.lower()) if shouted else _SMALL_FIRST.match(word)
+    return (*out, *((lang, 0.4) for lang, hint in _LETTERS.items() if m and hint.search(m.group())))
 
 
 def language_of(text: str) -> tuple[str | None, float]:
@@ -168,28 +186,28 @@ def language_of(text: str) -> tuple[str | None, float]:
 
     Quotations don't count, nor do the letters of names.
     """
-    outside = _QUOTED.sub(" ", text)
-    text = outside if len(folded_words(outside)) >= 3 else text  # what is quoted as a whole has nothing else to go by
-    words = folded_words(text)
-    if sum(w.isalpha() for w in words) < 3:
+    words = (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+    if any(mark in text for mark in "\"“„«"):
+        outside = _QUOTED.sub(" ", text)
+        beyond = _WORD.findall(outside)
+        if len(beyond) >= 3:  # what is quoted as a whole has nothing else to go by
+            text, words = outside, beyond
+    if sum(map(str.isalpha, words)) < 3:
         return None, 0.0
+    shouted = text == text.upper()
     score: dict[str, float] = {}
     for w in words:
-        for lang in _LANGUAGES_OF.get(w, ()):
-            score[lang] = score.get(lang, 0) + 1.0
-    shouted = text == text.upper()
-    for w in _ANY_WORD.findall(text.lower()) if shouted else _SMALL_WORD.findall(text):
-        for lang in _hints(w):
-            score[lang] = score.get(lang, 0) + 0.4
+        for lang, weight in _votes(w, shouted):
+            score[lang] = score.get(lang, 0) + weight
     if not score:
         return None, 0.0
-    ranked = sorted(score.items(), key=lambda x: -x[1])
-    lead = ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0)
-    return (ranked[0][0], lead) if ranked[0][1] >= 0.8 and lead >= 0.4 else (None, lead)
+    ranked = sorted(score.values(), reverse=True)
+    lead = ranked[0] - (ranked[1] if len(ranked) > 1 else 0)
+    return (max(score, key=score.__getitem__), lead) if ranked[0] >= 0.8 and lead >= 0.4 else (None, lead)
 
 
 def sentences_of(text: str) -> list[str]:
-    return [s for s in (x.strip() for x in _SENTENCE.split(text)) if folded_words(s)]
+    return [x.strip() for x in _SENTENCE.split(text) if _WORD.search(x)]
 
 
 _LEAD = regex.compile(r"^[^.:]{0,40}:\s")
@@ -244,31 +262,66 @@ def declines(sentence: str, question: str = "") -> bool:
     return len(folded_words(s)) <= PLAIN_WORDS or not _tells_more(s, question)
 
 
-def opening_key(sentence: str) -> str:
-    return " ".join("#" if w.isdigit() else w for w in folded_words(sentence))
+def opening_key(sentence: str, asked: frozenset[str] = frozenset()) -> str:
+    """The sentence as a template: numbers are #, and each run of words of its question is *."""
+    out: list[str] = []
+    for w in folded_words(sentence):
+        if w.isdigit():
+            w = "#"
+        elif w in asked:
+            w = "*"
+        if w != "*" or not out or out[-1] != "*":
+            out.append(w)
+    return " ".join(out)
 
 
 def without_citations(text: str) -> str:
     """The text without the run of citations at its end, however long."""
+    end = len(text)
     while True:
-        text = text.rstrip()
-        rest = text[:-400] + _CITATION.sub("", text[-400:])
-        if rest == text:
-            return text
-        text = rest
+        while end and text[end - 1].isspace():
+            end -= 1
+        if not end or text[end - 1] not in ")]":
+            return text[:end]
+        at = text.rfind("(" if text[end - 1] == ")" else "[", 0, end)
+        if at < 0 or not _CITATION.fullmatch(text, at, end):
+            return text[:end]
+        end = at
+
+
+@lru_cache(maxsize=4096)
+def _words_of_question(question: str) -> frozenset[str]:
+    """Words of a question that may be repeated without telling anything; those of every sentence and of sources are none."""
+    return frozenset(w for w in folded_words(question) if w not in COMMON_WORDS and w not in OF_SOURCES and not w.isdigit())
+
+
+#: How a sentence reads by itself: nothing known, courtesy, or a declining wording.
+OPEN_PART, IDLE_PART, SAID_PART = 0, 1, 2
+
+
+def void_parts(rest: str, question: str) -> tuple[list[tuple[str, int]], bool]:
+    """(template, kind) of each sentence where none gives a number of its own, else none; and whether the last sentence is
+    the only one that is no courtesy. `rest` is the answer without its question."""
+    sentences = sentences_of(_ITEM_NUMBER.sub("", without_citations(rest)))
+    told = set(_NUMBER.findall(rest)) - set(_NUMBER.findall(question))
+    for s in sentences if told else ():
+        if not told.isdisjoint(_NUMBER.findall(s)):
+            s = " ".join(s.casefold().split())
+            if not told.isdisjoint(_NUMBER.findall(_REFERENCE.sub(" ", without_label(s)))) and not IDLE.search(s):
+                return [], False
+    asked, parts = _words_of_question(question), []
+    for s in sentences:
+        idle = bool(IDLE.search(" ".join(s.casefold().split())))
+        tail = s.partition(":")[2].strip() if idle and ":" in s else ""
+        said = declines(tail or s, question)
+        parts.append((opening_key(without_label(tail or s), asked), SAID_PART if said else IDLE_PART if idle else OPEN_PART))
+    return parts, bool(parts) and parts[-1][1] != IDLE_PART and all(k == IDLE_PART for _, k in parts[:-1])
 
 
 def refusal_parts(answer: str, question: str) -> list[str]:
-    """Keys of the declining sentences, where no other sentence has substance; else none."""
-    rest, _ = without_question(answer, question)
-    keys = []
-    for s in sentences_of(_ITEM_NUMBER.sub("", without_citations(rest))):
-        tail = s.partition(":")[2].strip() if IDLE.search(s.casefold()) and ":" in s else ""
-        if declines(tail or s, question):
-            keys.append(opening_key(without_label(tail or s)))
-        elif not (IDLE.search(" ".join(s.casefold().split()))):
-            return []
-    return keys
+    """What the wording alone tells: templates of the declining sentences, where all others are courtesies; else none."""
+    parts, _ = void_parts(without_question(answer, question)[0], question)
+    return [] if any(kind == OPEN_PART for _, kind in parts) else [part for part, kind in parts if kind == SAID_PART]
 
 
 # ---- unfinished answers ----
@@ -321,6 +374,21 @@ def contexts(codes: np.ndarray, n: int) -> np.ndarray:
     return h ^ np.uint64(n)
 
 
+def last_contexts(codes: list[int]) -> list[int]:
+    """`contexts` at the last place, for each of CONTEXTS; its two lowest bits are left free."""
+    h, at, found, alive = 0, {}, set(CONTEXTS), True
+    for back in range(max(CONTEXTS)):
+        if alive and back < len(codes):
+            c = codes[-1 - back]
+            h = ((h ^ c) * 0x9E3779B97F4A7C15 + back + 1) & 0xFFFFFFFFFFFFFFFF
+            alive = not back or c != STOP
+        else:
+            alive = False
+        if back + 1 in found:
+            at[back + 1] = (h ^ (back + 1)) & ~3
+    return [at[n] - (1 << 64) if at[n] >> 63 else at[n] for n in CONTEXTS]
+
+
 _PAIRED, _ITEM_MARK = re.compile(r"[(\[{«)\]}»]"), re.compile(r"(?m)^\s*(?:\d{1,2}|[a-zA-Z])[.)]\s")
 _BRACKETS = dict(zip(SHUT, OPEN))
 
@@ -382,16 +450,17 @@ def end_state(body: str) -> str:
 @lru_cache(maxsize=4096)
 def _short_question(question: str) -> tuple[str, str, str | None]:
     q = clean(question)
-    return q, opening_key(q), language_of(q)[0]
+    key = opening_key(q)
+    return q, " ".join(w for w in key.split() if w not in COMMON_WORDS and w != "#") or key, language_of(q)[0]
 
 
 def _of_question(question: str | None) -> tuple[str, str, str | None]:
-    """The question cleaned, its key and its language; the same questions come with many answers."""
+    """The question cleaned, its key (without numbers and the commonest words) and its language; the same questions come with many answers."""
     q = question or ""
     return _short_question(q) if len(q) < 2000 else _short_question.__wrapped__(q)
 
 
-SPLIT_SCHEMA = "record_id {id}, question_key string, answerable boolean, defect string, parts array<string>, ends array<bigint>, short_end boolean, sole boolean"
+SPLIT_SCHEMA = "record_id {id}, question_key string, answerable boolean, defect string, parts array<struct<part: string, kind: int>>, ends array<bigint>, short_end boolean, sole boolean"
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -402,23 +471,20 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             defect, parts, ends, short, sole = None, [], [], False, False
             if not folded_words(a):
                 defect = "empty"
-            elif is_copied(a, q):
+            elif _repeats(a, q, *(found := without_question(a, q))):
                 defect = "copied"
             else:
-                parts = refusal_parts(a, q)
-                rest, _ = without_question(a, q)
-                body = body_of(answer)
+                rest = found[0]
+                parts, sole = void_parts(rest, q)
+                body = without_citations(a)
                 state = end_state(body)
-                # A clause that breaks off has not declined yet, unless another sentence has.
-                sole = len(parts) == 1 and opening_key(sentences_of(without_citations(rest))[-1]).endswith(parts[0])
                 lang_a = language_of(rest)[0]
                 if lang_a and lang_q and lang_a != lang_q:
                     defect = "other_language"
                 elif state == "open":
                     defect = "truncated"
                 elif state == "unclear":
-                    codes = np.array(token_codes(body), np.uint64)
-                    ends = [int(contexts(codes, n)[-1].astype(np.int64)) for n in CONTEXTS]
+                    ends = last_contexts(token_codes(body))
                     words = folded_words(body)
                     short = len(words) <= 4 or words[-1] in YES_NO and len(words) <= 2
                     if len(words) == 1 and words[0] in YES_NO:
@@ -427,33 +493,63 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["record_id", "question_key", "answerable", "defect", "parts", "ends", "short_end", "sole"])
 
 
-def _count_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per batch: each context with how often a sentence ended, went on or the text broke off after it.
+#: Bits of the filter of contexts that are asked for; its size is the same for any number of them.
+FILTER_BITS = 1 << 23
+
+
+def _asked_filter(asked: DataFrame) -> np.ndarray:
+    """One bit per asked context (a fixed number of bits, so a few others pass too)."""
+    spot = F.pmod(F.col("context").bitwiseXOR(F.shiftrightunsigned("context", 29)), F.lit(FILTER_BITS))
+    chunks = asked.select((spot + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    out = np.zeros(FILTER_BITS + 8 * 4096, bool)
+    for row in chunks.collect():  # at most FILTER_BITS / 32768 rows of 4 KiB
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        at = (row["bucket"] - 1) * 32768
+        out[at : at + len(bits)] = bits
+    return np.packbits(out)
+
+
+def _passes(bits: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    spot = ((contexts ^ (contexts >> np.uint64(29))).astype(np.int64) % FILTER_BITS).astype(np.int64)
+    return (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _context_counter(filter_bits):
+    """Per batch: each asked context with how often a sentence ended, went on or the text broke off after it.
 
     All texts of a batch form one sequence; each begins with an end of sentence, so contexts never reach back into
     another text.
     """
-    for pdf in batches:
-        joined: list[int] = []
-        lasts: list[int] = []
-        for answer in pdf["answer_text"]:
-            codes = token_codes(body_of(answer))
-            if len(codes) > 1:
-                joined += codes
-                lasts.append(len(joined) - 1)
-        if not joined:
-            continue
-        codes = np.array(joined, np.uint64)
-        kind = np.where(np.append(codes[1:], STOP) == STOP, 0, 1).astype(np.uint64)
-        kind[lasts] = 2
-        use = codes != STOP
-        both = np.concatenate([contexts(codes, n)[use] & ~np.uint64(3) | kind[use] for n in CONTEXTS])
-        found, counts = np.unique(both, return_counts=True)
-        kind = found & np.uint64(3)
-        yield pd.DataFrame({
-            "context": (found & ~np.uint64(3)).astype(np.int64),
-            "ended": np.where(kind == 0, counts, 0), "went_on": np.where(kind == 1, counts, 0), "broke_off": np.where(kind == 2, counts, 0),
-        })
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = filter_bits.value
+        for pdf in batches:
+            joined: list[int] = []
+            lasts: list[int] = []
+            for answer in pdf["answer_text"]:
+                codes = token_codes(body_of(answer))
+                if len(codes) > 1:
+                    joined += codes
+                    lasts.append(len(joined) - 1)
+            if not joined:
+                continue
+            codes = np.array(joined, np.uint64)
+            kind = np.where(np.append(codes[1:], STOP) == STOP, 0, 1).astype(np.uint64)
+            kind[lasts] = 2
+            use = codes != STOP
+            both = []
+            for n in CONTEXTS:
+                c = contexts(codes, n)[use] & ~np.uint64(3)
+                hit = _passes(bits, c)
+                both.append(c[hit] | kind[use][hit])
+            found, counts = np.unique(np.concatenate(both), return_counts=True)
+            kind = found & np.uint64(3)
+            yield pd.DataFrame({
+                "context": (found & ~np.uint64(3)).astype(np.int64),
+                "ended": np.where(kind == 0, counts, 0), "went_on": np.where(kind == 1, counts, 0), "broke_off": np.where(kind == 2, counts, 0),
+            })
+
+    return count
 
 
 # ---- clusters of openings ----
@@ -500,15 +596,17 @@ def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _labels_of(links: DataFrame) -> DataFrame:
-    """(part, cluster) of all linked parts: labels travel along links, given both ways, until none changes."""
+    """(part, cluster) of all linked parts: each round takes the least label among the neighbours and then that label's own
+    label, so chains of any length shrink by halves."""
     labels = materialise(links.select("part").distinct().withColumn("cluster", F.col("part")))
     changed = not links.isEmpty()
     while changed:
         told = links.join(labels.select(F.col("part").alias("other"), F.col("cluster").alias("told")), "other").groupBy("part").agg(F.min("told").alias("told"))
-        step = labels.join(told, "part").select("part", F.least("cluster", "told").alias("cluster"), (F.col("told") < F.col("cluster")).alias("moved"))
-        step = materialise(step)
-        changed = not step.where("moved").isEmpty()
-        labels = step.drop("moved")
+        hooked = labels.join(told, "part").select("part", F.col("cluster").alias("held"), F.least("cluster", "told").alias("cluster"))
+        beyond = hooked.select(F.col("part").alias("cluster"), F.col("cluster").alias("beyond"))
+        step = materialise(hooked.join(beyond, "cluster", "left").select("part", "held", F.least("cluster", F.coalesce("beyond", "cluster")).alias("cluster")))
+        changed = not step.where("cluster <> held").isEmpty()
+        labels = step.drop("held")
     return labels
 
 
@@ -547,28 +645,82 @@ def cluster_openings(openings: DataFrame) -> DataFrame:
     return parts.join(labels, "part", "left").select("part", F.coalesce("cluster", "part").alias("cluster"))
 
 
+def _is_plain(word: str):
+    """A word of every sentence, of sources or of answering."""
+    listed = ", ".join(f"'{w}'" for w in sorted(OF_SOURCES | COMMON_WORDS))
+    return F.expr(f"{word} in ({listed})")
+
+
+def _vocabulary(records: DataFrame) -> DataFrame:
+    """(word) of the matter: what questions and gold answers say, but for words of every sentence and of sources."""
+    texts = records.select(F.explode(F.array("question", "gold_answer")).alias("t")).where("t is not null").distinct()
+    words = texts.select(F.explode(F.split(F.lower("t"), r"[^\p{L}\p{M}\p{N}]+")).alias("word")).where("word <> ''").distinct()
+    return words.where("not word rlike '^[0-9]+$'").where(~_is_plain("word"))
+
+
+def _related(mine, theirs):
+    """Whether two questions share more than a few of their words."""
+    a, b = (F.array_distinct(F.split(x, " ")) for x in (mine, theirs))
+    return F.size(F.array_intersect(a, b)) >= UNRELATED * F.greatest(F.size(F.array_union(a, b)), F.lit(1))
+
+
+def template_kinds(openings: DataFrame, clusters: DataFrame, vocabulary: DataFrame, base_odds: float) -> DataFrame:
+    """(part, cluster, refusal, idle) of every template.
+
+    openings(record_id, question_key, answerable, part, kind); those of empty questions tell nothing. The first prompt of a cluster (by hash) is compared with
+    each other one, so what is counted are prompts unrelated to it.
+    """
+    seen = openings.where("question_key <> ''").groupBy("part", "question_key").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("answerable")).alias("n_un"), F.count("answerable").alias("n_known"), F.count_if(F.col("kind") == SAID_PART).alias("said"), F.count_if(F.col("kind") == IDLE_PART).alias("idle")
+    )
+    asked = materialise(seen.join(clusters, "part").groupBy("cluster", "question_key").agg(*(F.sum(c).alias(c) for c in ("n", "n_un", "n_known", "said", "idle"))))
+    first = asked.groupBy("cluster").agg(
+        F.min_by("question_key", F.xxhash64("question_key")).alias("first_key"), *(F.sum(c).alias(c) for c in ("n", "said", "idle")),
+        F.count_if(F.col("n_known") > 0).alias("n_known"), F.sum(F.try_divide("n_un", "n_known")).alias("n_un"),
+    )
+    apart = asked.select("cluster", "question_key").join(first.select("cluster", "first_key"), "cluster").where(~_related(F.col("question_key"), F.col("first_key"))).groupBy("cluster").agg(F.count("*").alias("unrelated"))
+    words = first.select("cluster", F.explode(F.split("cluster", " ")).alias("word")).join(vocabulary.withColumn("matter", F.lit(True)), "word", "left")
+    blank = words.groupBy("cluster").agg((F.count_if(~_is_plain("word")) / F.count("*")).alias("other"), (F.count("matter") / F.count("*")).alias("matter"))
+    # Lower 95 % bound of the share of prompts that can't be answered.
+    n, z = F.col("n_known").cast("double"), 1.645
+    share = F.col("n_un") / n
+    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    drawn = F.coalesce((low >= LEAST_SHARE) & (low >= (1 - low) * LEAST_ODDS * base_odds), F.lit(False)) & (F.col("n_known") >= LEAST_DRAWN) if base_odds > 0 else F.lit(False)
+    courtesy = F.col("idle") * 2 > F.col("n")
+    says_nothing = (F.col("matter") == 0) & (F.col("other") <= MOST_OTHER) & (F.size(F.split("cluster", " ")) >= LEAST_WORDS) & ~F.split("cluster", " ")[0].isin(*sorted(YES_NO))
+    worded = (F.col("said") * 2 > F.col("n")) & (drawn | (F.col("matter") <= MOST_MATTER))
+    refusal = ~courtesy & (worded & (F.col("unrelated") >= LEAST_SAID) | (drawn | says_nothing) & (F.col("unrelated") >= LEAST_TOLD))
+    kinds = first.join(apart, "cluster", "left").join(blank, "cluster").withColumn("unrelated", F.coalesce("unrelated", F.lit(0)))
+    kinds = kinds.select("cluster", refusal.alias("refusal"), courtesy.alias("idle"))
+    return clusters.join(kinds, "cluster", "left").select("part", "cluster", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("refusal", "idle")))
+
+
 def judge_pairs(records: DataFrame) -> DataFrame:
     """(record_id, defect, answerable): one row per linked record, defect null where none was found.
 
-    Takes record_id, question, answer_text, answerable, linked. Records not linked have no row; repeated rows count
-    once; null and blank answers are empty; a null question can neither be copied nor set the language. Refusals
-    are named whether or not the question is answerable (callers filter), but where it is not, other defects go first.
+    Takes record_id, question, answer_text, answerable, linked and, where there is one, gold_answer. Records not linked
+    have no row; repeated rows count once; null and blank answers are empty; a null question can neither be copied nor
+    set the language. Refusals are named whether or not the question is answerable (callers filter), but where it is not,
+    other defects go first.
     """
     used = ["record_id", "question", "answer_text", "answerable"]
+    records = records if "gold_answer" in records.columns else records.withColumn("gold_answer", F.lit(None).cast("string"))
     # One shuffle serves the repeats and spreads the reading of the texts over all cores.
     linked = records.where("linked and record_id is not null").select(*used).repartition(shuffle_width(records.sparkSession), "record_id").dropDuplicates(["record_id"])
     id_type = linked.schema["record_id"].dataType.simpleString()
     judged = linked.mapInPandas(_judge, SPLIT_SCHEMA.format(id=id_type))
     judged = materialise(judged)
 
-    openings = judged.select("record_id", "question_key", F.explode("parts").alias("part"))
-    clusters = cluster_openings(openings)
-    template = openings.join(clusters, "part")
-    prompts = template.select("cluster", "question_key").distinct().groupBy("cluster").agg(F.count("*").alias("prompts"))
-    refusals = template.join(prompts.where(F.col("prompts") >= LEAST_PROMPTS), "cluster").select("record_id").distinct().withColumn("refusal", F.lit(True))
+    openings = judged.select("record_id", "question_key", "answerable", F.inline("parts"))
+    clusters = materialise(cluster_openings(openings))
+    totals = judged.agg(F.count_if(~F.col("answerable")).alias("un"), F.count_if(F.col("answerable")).alias("ok")).first()
+    kinds = template_kinds(openings, clusters, _vocabulary(records), totals["un"] / totals["ok"] if totals["ok"] else 0.0)
+    verdict = openings.select("record_id", "part").join(kinds, "part").groupBy("record_id").agg(F.min(F.col("refusal") | F.col("idle")).alias("void"), F.max("refusal").alias("any"))
+    refusals = verdict.where("void and any").select("record_id", F.lit(True).alias("refusal"))
 
-    asked = judged.where("size(ends) > 0").select("record_id", "short_end", F.posexplode("ends").alias("rank", "end")).withColumn("context", F.col("end").bitwiseAND(~3)).drop("end")
-    counts = linked.select("record_id", "answer_text").mapInPandas(_count_contexts, "context bigint, ended bigint, went_on bigint, broke_off bigint")
+    asked = judged.where("size(ends) > 0").select("record_id", "short_end", F.posexplode("ends").alias("rank", "context"))
+    filter_bits = judged.sparkSession.sparkContext.broadcast(_asked_filter(asked))
+    counts = linked.select("record_id", "answer_text").mapInPandas(_context_counter(filter_bits), "context bigint, ended bigint, went_on bigint, broke_off bigint")
     counts = counts.groupBy("context").agg(*(F.sum(c).alias(c) for c in ("ended", "went_on", "broke_off")))
     known = asked.join(counts, "context").where((F.col("ended") + F.col("went_on") >= F.when(F.col("rank") < len(CONTEXTS) - 1, 2).otherwise(10)) | (F.col("short_end") & (F.col("broke_off") + F.col("went_on") >= 3)))
     best = known.groupBy("record_id").agg(F.min_by(F.struct("ended", "went_on", "broke_off", "short_end"), "rank").alias("c"))
