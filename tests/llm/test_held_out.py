@@ -4,7 +4,7 @@ import random
 
 import held_out
 
-from tallyloom.llm import pairs
+from tallyloom.llm import pairs, residue
 
 MATTERS = {
     "en": ["Who tests the sprinkler pump in {}?", "When was the roof of {} last surveyed?", "Which contractor relined the chimney at {}?", "How thick is the cladding on {}?", "What colour marks the gas riser inside {}?", "Why was the boiler of {} shut down?", "Where are the keys for the meter room kept at {}?", "Does {} need a second staircase?"],
@@ -49,3 +49,20 @@ def test_refusals_of_answerable_questions_only(spark):
     recall, precision = _measured(spark, 0.0)
     print(f"refusals of answerable questions only: recall {recall:.3f}, precision {precision:.3f}")
     assert precision >= 0.9
+
+
+def test_residue_never_seen_before():
+    found = [bool(residue.signs(s)) for _, s in held_out.lines(held_out.RESIDUE)]
+    wrong = [s for _, s in held_out.lines(held_out.REAL) if residue.signs(s)]
+    recall, precision = sum(found) / len(found), sum(found) / (sum(found) + len(wrong))
+    print(f"residue: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_residue_inside_real_text():
+    """A message that stands in one place of a long text is found, a report of one beside it is not."""
+    real = [s for _, s in held_out.lines(held_out.REAL)]
+    for _, message in held_out.lines(held_out.RESIDUE):
+        if residue.signs(message):
+            assert residue.signs(" ".join(real[:10]) + "\n" + message + "\n" + " ".join(real[10:20]))
+    assert residue.signs(" ".join(real)) == []
