@@ -9,14 +9,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Short forms whose full stop ends no sentence.
 SHORT_FORMS = "abs al app approx art bzw ca cf cl co dr ed eg etc fig figs ggf hr hrsg ie inc inkl ltd max min mr mrs ms nr no núm op ord p par pos pp prof ref resp s sec sr st str tel u ul usw v vgl vol vs z zb".split()
@@ -131,17 +129,9 @@ def cut(text: str, limit: int = 4000, overlap: int = 400) -> list[tuple[int, int
     return list(zip(starts[chain[:-1]].tolist(), nodes[chain[1:]].tolist()))
 
 
-PIECE = T.ArrayType(T.StructType([T.StructField("char_start", T.LongType()), T.StructField("char_end", T.LongType()), T.StructField("piece", T.StringType())]))
-
-
-@lru_cache(maxsize=8)
-def _cutter(limit: int, overlap: int):
-    @F.pandas_udf(PIECE)
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda s: [(a, b, s[a:b]) for a, b in cut(s, limit, overlap)])
-
-    return pieces
+PIECE_COLUMNS = "sub_index int, sub_count int, overlap_with_previous boolean, overlap_chars int, char_start bigint, char_end bigint, piece string"
+#: Characters of pieces that are handed on at once.
+BATCH_CHARS = 4_000_000
 
 
 def split_oversized(df: DataFrame, *, text: str = "text", limit: int = 4000, overlap: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -149,10 +139,26 @@ def split_oversized(df: DataFrame, *, text: str = "text", limit: int = 4000, ove
     overlap_chars, char_start, char_end, piece.
 
     Texts within the limit, empty and null texts give no row; repeated rows are cut each. Joining the pieces
-    without their overlaps gives the text back, character by character.
+    without their overlaps gives the text back, character by character. A text is cut once, and its pieces leave
+    the task as finished rows, a few at a time.
     """
     big = df.select(*keep, F.col(text).alias("_text")).where(F.length("_text") > limit)
-    cuts = big.withColumn("_cuts", _cutter(limit, overlap)(F.col("_text"))).select(*keep, F.size("_cuts").alias("sub_count"), F.col("_cuts"))
-    rows = cuts.select(*keep, "sub_count", "_cuts", F.posexplode("_cuts").alias("_pos", "_cut"))
-    shared = F.when(F.col("_pos") > 0, F.element_at("_cuts", F.col("_pos")).getField("char_end") - F.col("_cut.char_start")).otherwise(F.lit(0))
-    return rows.select(*keep, (F.col("_pos") + 1).alias("sub_index"), "sub_count", (shared > 0).alias("overlap_with_previous"), shared.cast("int").alias("overlap_chars"), "_cut.char_start", "_cut.char_end", "_cut.piece")
+    kept = [f"`_k{i}` {big.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    names = [*(f"_k{i}" for i in range(len(keep))), *(x.split()[0] for x in PIECE_COLUMNS.split(", "))]
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        for pdf in batches:
+            for *own, s in pdf.itertuples(index=False, name=None):
+                cuts, before = cut(s, limit, overlap), 0
+                for i, (a, b) in enumerate(cuts):
+                    shared = before - a if i else 0
+                    rows.append((*own, i + 1, len(cuts), shared > 0, shared, a, b, s[a:b]))
+                    before, held = b, held + b - a
+                    if held > BATCH_CHARS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+        yield pd.DataFrame(rows, columns=names)
+
+    out = big.mapInPandas(pieces, ", ".join([*kept, PIECE_COLUMNS]))
+    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *names[len(keep) :])

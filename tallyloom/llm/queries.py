@@ -72,6 +72,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).where("sub_index = 1 and sub_count > 1").select("built_id").distinct()
 
 
+def p4_pieces_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per long text what its pieces give: the text joined back without overlaps, as a hash, and whether they keep the rules."""
+    own = F.struct("sub_index", "piece", "overlap_chars", "overlap_with_previous", "sub_count")
+    whole = _pieces(spark, d).groupBy("built_id", "document_id", "chunk_index").agg(F.array_sort(F.collect_list(own)).alias("p"))  # the pieces of one text
+    every = lambda test: F.forall("p", test)
+    return whole.select(
+        "built_id",
+        F.md5(F.concat_ws("", F.transform("p", lambda x: F.substr(x["piece"], x["overlap_chars"] + 1)))).alias("text_md5"),
+        every(lambda x: F.length(x["piece"]).between(1, 4000)).alias("pieces_fit"),
+        every(lambda x: x["overlap_chars"].between(0, 400) & (x["overlap_with_previous"] == (x["overlap_chars"] > 0))).alias("overlaps_fit"),
+        (every(lambda x: x["sub_count"] == F.size("p")) & (F.transform("p", lambda x: x["sub_index"]) == F.sequence(F.lit(1), F.size("p")))).alias("numbered"),
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.find_defects(load(spark, d, "query_records"))
 
@@ -118,7 +132,7 @@ def p10_residue(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_consistent_texts, p2_latency_percentiles, p2_latency_by_day, p3_found, p3_conversations, p4_found, p4_pieces,
+        p1_found, p1_consistent_texts, p2_latency_percentiles, p2_latency_by_day, p3_found, p3_conversations, p4_found, p4_pieces, p4_pieces_checked,
         p6_found, p8_found, p8_leaks, p8_clean_documents, p8_redacted_documents, p9_mixture, p9_shares, p10_found, p10_residue,
     )
 }
@@ -144,6 +158,7 @@ SQL = {
     "p2_latency_percentiles": _percentile_sql("cell_name, model"),
     "p2_latency_by_day": _percentile_sql("cell_name, model, day"),
     "p4_found": "SELECT DISTINCT built_id FROM built_chunks WHERE length(text) > 4000",
+    "p4_pieces_checked": "SELECT DISTINCT built_id, md5(text) AS text_md5, true AS pieces_fit, true AS overlaps_fit, true AS numbered FROM built_chunks WHERE length(text) > 4000",
     "p3_found": rf"""
         WITH m AS (
             SELECT DISTINCT message_id, conversation_id, created_at, lower(regexp_replace(coalesce(speaker, ''), '[\p{{Z}}\p{{C}}\s]+', '', 'g')) AS who,
