@@ -17,13 +17,11 @@ def p5_minute_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    runs = spans.set_and_clear_runs(load(spark, d, "intervals"))
-    return runs.where("kind = 'gap'").selectExpr("label", "start_us AS gap_start_us", "end_us AS gap_end_us")
+    return spans.clear_runs(load(spark, d, "intervals")).selectExpr("label", "start_us AS gap_start_us", "end_us AS gap_end_us")
 
 
 def p7_periods(spark: SparkSession, d: str) -> DataFrame:
-    runs = spans.set_and_clear_runs(load(spark, d, "intervals"))
-    return runs.where("kind = 'period'").selectExpr("label", "start_us AS period_start_us", "end_us AS period_end_us")
+    return spans.set_runs(load(spark, d, "intervals")).selectExpr("label", "start_us AS period_start_us", "end_us AS period_end_us")
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_minute_grid, p7_found, p7_periods)}
