@@ -100,8 +100,9 @@ def filled_lines(c: Column) -> Column:
     return F.filter(lines_of(c), lambda x: F.length(F.trim(F.regexp_replace(x, BLANKS, " "))) > 0)
 
 
-def blank_line_ratio(c: Column, sample: int = 2000) -> Column:
-    some = F.slice(lines_of(c), 1, sample)
+def blank_line_ratio(c: Column, sample: int | None = None) -> Column:
+    """The share of blank lines, of all lines or of the first `sample` ones."""
+    some = lines_of(c) if sample is None else F.slice(lines_of(c), 1, sample)
     return F.when(F.length(c) == 0, F.lit(0.0)).otherwise(F.size(F.filter(some, lambda x: F.trim(F.regexp_replace(x, BLANKS, " ")) == "")) / F.size(some))
 
 

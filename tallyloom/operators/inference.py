@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyloom.functions import resampling
 from tallyloom.functions.arrays import bonferroni, settled
@@ -37,12 +38,22 @@ def delta_summary(pairs: DataFrame) -> DataFrame:
 
 
 def exact_sign_flips(pairs: DataFrame) -> DataFrame:
-    """Exact two-sided permutation p by enumerating all 2**n sign patterns; null for n < 2 or no difference at all.
+    """Two-sided permutation p per (cell, metric), with its method; null for n < 2 or no difference at all.
 
-    Groups of more than EXACT_QUESTIONS questions are left to the sampled kernel (`deltas`).
+    exact: all 2**n sign patterns are enumerated. sampled: groups of more than EXACT_QUESTIONS questions take the p of
+    the numpy kernel, which draws patterns.
     """
-    per = pairs.groupBy("cell", "metric").agg(F.array_sort(F.collect_list(F.struct("query_id", (F.col("a") - F.col("b")).alias("d")))).alias("ds")).where(F.size("ds") <= EXACT_QUESTIONS)
+    size = F.count("*").over(Window.partitionBy("cell", "metric"))
+    sized = pairs.select("cell", "metric", "query_id", "a", "b", size.alias("_size"))
+    per = sized.where(F.col("_size") <= EXACT_QUESTIONS).groupBy("cell", "metric").agg(F.array_sort(F.collect_list(F.struct("query_id", (F.col("a") - F.col("b")).alias("d")))).alias("ds"))
     per = per.select("cell", "metric", F.transform("ds", lambda x: x["d"]).alias("d"))
+
+    def sampled(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("query_id")
+        return pd.DataFrame([[*key, len(pdf), resampling.sign_flip_p((pdf["a"] - pdf["b"]).to_numpy(float)), "sampled"]], columns=["cell", "metric", "n", "perm_p", "method"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    large = sized.where(F.col("_size") > EXACT_QUESTIONS).groupBy("cell", "metric").applyInPandas(sampled, f"cell {kinds['cell']}, metric {kinds['metric']}, n int, perm_p double, method string")
     n = F.size("d")
     masks = per.withColumn("mask", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), n) - 1).cast("int"))))
     flipped = F.aggregate(F.arrays_zip(F.col("d"), F.sequence(F.lit(0), n - 1).alias("i")), F.lit(0.0), lambda acc, x: acc + F.when(F.call_function("shiftright", F.col("mask"), x["i"]).bitwiseAND(1) == 1, -x["d"]).otherwise(x["d"]))
@@ -50,7 +61,7 @@ def exact_sign_flips(pairs: DataFrame) -> DataFrame:
     draws = masks.select("cell", "metric", n.alias("n"), flipped.alias("t"), plain.alias("obs"), F.exists("d", lambda x: x != 0).alias("any"))
     tails = draws.groupBy("cell", "metric", "n", "any").agg(F.avg((F.col("t") <= F.col("obs") + 1e-9).cast("double")).alias("less"), F.avg((F.col("t") >= F.col("obs") - 1e-9).cast("double")).alias("more"))
     p = F.when((F.col("n") >= 2) & F.col("any"), F.least(F.lit(1.0), 2 * F.least("less", "more")))
-    return tails.select("cell", "metric", "n", F.round(p, 9).alias("perm_p"))
+    return tails.select("cell", "metric", "n", F.round(p, 9).alias("perm_p"), F.lit("exact").alias("method")).unionByName(large)
 
 
 def seeded_bootstrap(values: DataFrame, keys: list[str], draws: int = 999, level: float = 0.95) -> DataFrame:
@@ -109,10 +120,18 @@ def ratio_deltas(num: DataFrame, den: DataFrame, reference: str) -> DataFrame:
 
 
 def exact_ratio_swaps(num: DataFrame, den: DataFrame, reference: str) -> DataFrame:
-    """Exact permutation p of the ratio delta in SQL: each question's pair swaps cells in all 2**n ways."""
+    """Permutation p of the ratio delta, with its method: each question's pair swaps cells, in all 2**n ways (exact) or, over
+    EXACT_QUESTIONS questions, in ways drawn by the numpy kernel (sampled)."""
     wide = num.select("cell", "query_id", F.col("value").alias("num")).join(den.select("cell", "query_id", F.col("value").alias("den")), ["cell", "query_id"])
     ref = wide.where(F.col("cell") == reference).select("query_id", F.col("num").alias("nb"), F.col("den").alias("db"))
-    rows = wide.where(F.col("cell") != reference).join(ref, "query_id").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("query_id", F.col("num").alias("na"), F.col("den").alias("da"), "nb", "db"))).alias("v")).where(F.size("v") <= EXACT_QUESTIONS)
+    four = wide.where(F.col("cell") != reference).join(ref, "query_id").withColumn("_size", F.count("*").over(Window.partitionBy("cell")))
+    rows = four.where(F.col("_size") <= EXACT_QUESTIONS).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("query_id", F.col("num").alias("na"), F.col("den").alias("da"), "nb", "db"))).alias("v"))
+
+    def sampled(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = [pdf.sort_values("query_id")[c].to_numpy(float) for c in ("num", "den", "nb", "db")]
+        return pd.DataFrame([[key[0], len(pdf), resampling.ratio_delta(*v)["delta"], resampling.ratio_swap_p(*v), "sampled"]], columns=["cell", "n", "delta", "perm_p", "method"])
+
+    large = four.where(F.col("_size") > EXACT_QUESTIONS).groupBy("cell").applyInPandas(sampled, f"cell {wide.schema['cell'].dataType.simpleString()}, n int, delta double, perm_p double, method string")
     masks = rows.withColumn("mask", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), F.size("v")) - 1).cast("int"))))
     swapped = lambda x: F.call_function("shiftright", F.col("mask"), x["i"]).bitwiseAND(1) == 1
     zipped = F.transform("v", lambda x, i: F.struct(i.alias("i"), x["na"].alias("na"), x["da"].alias("da"), x["nb"].alias("nb"), x["db"].alias("db")))
@@ -120,7 +139,7 @@ def exact_ratio_swaps(num: DataFrame, den: DataFrame, reference: str) -> DataFra
     draws = masks.select("cell", F.size("v").alias("n"), "mask", (add("na", "nb") / F.nullif(add("da", "db"), F.lit(0.0)) - add("nb", "na") / F.nullif(add("db", "da"), F.lit(0.0))).alias("t"))
     obs = draws.where("mask = 0").select("cell", F.col("t").alias("obs"))
     extreme = F.col("t").isNull() | (F.abs("t") >= F.abs("obs") - 1e-9)
-    return draws.join(F.broadcast(obs), "cell").groupBy("cell", "n").agg(F.round(F.max("obs"), 6).alias("delta"), F.round(F.avg(extreme.cast("double")), 9).alias("perm_p"))
+    return draws.join(F.broadcast(obs), "cell").groupBy("cell", "n").agg(F.round(F.max("obs"), 6).alias("delta"), F.round(F.avg(extreme.cast("double")), 9).alias("perm_p"), F.lit("exact").alias("method")).unionByName(large)
 
 
 def split_families(cells: DataFrame, grid: list[str], offgrid: list[str], aliases: dict[str, str] | None = None) -> DataFrame:

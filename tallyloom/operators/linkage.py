@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from tallyloom.functions.text import match_key
 from tallyloom.operators.sequences import nearest_in_time, nearest_with_key
-from tallyloom.session import materialise
 
 ASKERS, ANSWERERS = ("user", "human", "customer"), ("assistant", "ai", "bot")
 
@@ -127,23 +126,17 @@ def sitting_windows(found: DataFrame, pad_s: int = 60, round_s: int = 60) -> Dat
     )
 
 
-def merge_sittings(hits: DataFrame, most: int = 10) -> DataFrame:
-    """Greedy cover: per cell, chats in order of matches (then first time, then id) are taken while they add questions.
+def merge_sittings(hits: DataFrame, most: int | None = None) -> DataFrame:
+    """Greedy cover: per cell, chats in order of matches (then first time, then id) are taken while they add questions;
+    cell, conversation_id, step (from 0), added. `most` stops it earlier, where only so many chats are wanted.
 
-    hits(cell, conversation_id, question_id, at). Only the best chats by matches can be taken: a chat adds nothing once
-    all questions of the cell are covered, so at most `most` of them come out and each round is one aggregation.
+    hits(cell, conversation_id, question_id, at). The order never changes, so the chats taken are those that come first
+    in it for some question: one aggregation per question instead of a round per chat.
     """
-    pool = materialise(hits.groupBy("cell", "conversation_id", "question_id").agg(F.min("at").alias("at")))
-    taken = None
-    for step in range(most):
-        fresh = pool if taken is None else pool.join(taken.select("cell", "question_id").distinct(), ["cell", "question_id"], "left_anti")
-        size = pool.groupBy("cell", "conversation_id").agg(F.count("*").alias("matched"), F.min("at").alias("first_at"))
-        news = fresh.groupBy("cell", "conversation_id").agg(F.count("*").alias("news")).join(size, ["cell", "conversation_id"])
-        best = news.groupBy("cell").agg(F.min_by(F.struct("conversation_id", "news"), F.struct(-F.col("matched"), "first_at", "conversation_id")).alias("b")).select("cell", "b.*", F.lit(step).alias("step"))
-        best = materialise(best)
-        if best.isEmpty():
-            break
-        rows = fresh.join(best.select("cell", "conversation_id", "news", "step"), ["cell", "conversation_id"]).select("cell", "conversation_id", "question_id", "news", "step")
-        taken = materialise(rows if taken is None else taken.unionByName(rows))
-    empty = pool.select("cell", "conversation_id", F.lit(0).alias("step"), F.lit(0).cast("bigint").alias("added")).limit(0)
-    return empty if taken is None else taken.groupBy("cell", "conversation_id", "step").agg(F.count("*").alias("added"))
+    pool = hits.groupBy("cell", "conversation_id", "question_id").agg(F.min("at").alias("at"))
+    size = pool.groupBy("cell", "conversation_id").agg(F.count("*").alias("matched"), F.min("at").alias("first_at"))
+    place = F.struct((-F.col("matched")).alias("m"), "first_at", "conversation_id")
+    first = pool.join(size, ["cell", "conversation_id"]).groupBy("cell", "question_id").agg(F.min(place).alias("place"))
+    taken = first.groupBy("cell", "place").agg(F.count("*").alias("added"))
+    out = taken.select("cell", "place.conversation_id", (F.row_number().over(Window.partitionBy("cell").orderBy("place")) - 1).alias("step"), "added")
+    return out if most is None else out.where(F.col("step") < most)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions.text import blank_tokens, normalise_for_match, shingles, unescape_twice
+from tallyloom.session import materialise
 
 SHINGLE, SHINGLE_COVERAGE, TOKEN_COVERAGE = 5, 0.6, 0.9
 
@@ -18,7 +19,12 @@ def prepared(df: DataFrame, key: str, document: str, text: str) -> DataFrame:
     """
     whole = F.coalesce(unescape_twice(F.when(F.contains(F.col(text), F.lit("&")), F.col(text))), F.col(text))
     norm = df.where(F.col(key).isNotNull() & F.col(document).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(document).alias("document"), normalise_for_match(whole).alias("norm")).where("norm <> ''").distinct()
-    return norm.withColumn("grams", F.array_distinct(shingles(blank_tokens(F.col("norm")), SHINGLE)))
+    return norm.withColumn("grams", _hashed(shingles(blank_tokens(F.col("norm")), SHINGLE)))
+
+
+def _hashed(units: Column) -> Column:
+    """Distinct units as 64-bit hashes: what is joined and compared are numbers."""
+    return F.array_distinct(F.transform(units, lambda x: F.xxhash64(x)))
 
 
 def _rarest(wanted: DataFrame, chunks: DataFrame, unit: str) -> DataFrame:
@@ -42,8 +48,9 @@ def match_quotes(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     contained only where they share a token.
     """
     tokens = blank_tokens(F.col("norm"))
-    quotes = evidence.withColumns({"tokens": F.array_distinct(tokens), "n_words": F.size(tokens), "inner": F.array_distinct(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))})
-    pool = chunks.withColumn("tokens", F.array_distinct(tokens))
+    quotes = materialise(evidence.withColumns({"tokens": _hashed(tokens), "n_words": F.size(tokens), "inner": _hashed(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))}))
+    # Only chunks of documents with a quote are counted and met; their texts are normalised once.
+    pool = materialise(chunks.join(quotes.select("document").distinct(), "document", "left_semi").withColumn("tokens", _hashed(tokens)))
     enough = lambda unit, share: (F.floor(F.size(unit) * (1 - share) + 1e-9) + 1).cast("int")
     ask = lambda which, rule, keep, units: quotes.where(which).select(F.col("key").alias("evidence_id"), "document", F.lit(rule).alias("rule"), keep.alias("keep"), F.col(units).alias("units"))
     by_token = ask(f"n_words < {SHINGLE}", "cover", enough("tokens", TOKEN_COVERAGE), "tokens").unionByName(ask("n_words < 3", "short", F.lit(2), "tokens")).unionByName(ask("n_words >= 3", "inside", F.lit(1), "inner"))
@@ -51,10 +58,10 @@ def match_quotes(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     met = None
     for unit, wanted in keys.items():
         held = pool.join(wanted.select("document").distinct(), "document", "left_semi").select(F.col("key").alias("chunk_id"), "document", F.explode(unit).alias("unit"))
-        pairs = wanted.join(held, ["document", "unit"]).select("evidence_id", "chunk_id")
+        pairs = wanted.join(held, ["document", "unit"]).select("evidence_id", "chunk_id", "document")
         met = pairs if met is None else met.unionByName(pairs)
-    full = met.distinct().join(quotes.select(F.col("key").alias("evidence_id"), F.col("document").alias("quote_document"), F.col("norm").alias("quote"), "n_words", F.col("grams").alias("quote_grams"), F.col("tokens").alias("quote_tokens")), "evidence_id")
-    full = full.join(pool.select(F.col("key").alias("chunk_id"), "document", "norm", "grams", "tokens"), "chunk_id").where("document = quote_document")
+    full = met.distinct().join(quotes.select(F.col("key").alias("evidence_id"), "document", F.col("norm").alias("quote"), "n_words", F.col("grams").alias("quote_grams"), F.col("tokens").alias("quote_tokens")), ["evidence_id", "document"])
+    full = full.join(pool.select(F.col("key").alias("chunk_id"), "document", "norm", "grams", "tokens"), ["chunk_id", "document"])
     share = lambda mine, theirs: F.size(F.array_intersect(mine, theirs)) / F.size(mine)
     is_long = F.col("n_words") >= SHINGLE
     inside = F.contains("norm", "quote") & ((F.col("n_words") >= 3) | F.arrays_overlap("quote_tokens", "tokens"))

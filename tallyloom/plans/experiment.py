@@ -161,12 +161,12 @@ SQL = {
         WITH {_SEGMENTS}, v AS (SELECT cell, query_id, 'cost' AS metric, cost AS x FROM per UNION ALL SELECT cell, query_id, 'joint', joint FROM per),
         dd AS (SELECT a.cell, a.metric, a.query_id, a.x - b.x AS df, row_number() OVER (PARTITION BY a.cell, a.metric ORDER BY a.query_id) - 1 AS i, count(*) OVER (PARTITION BY a.cell, a.metric) AS n FROM v a JOIN v b ON a.query_id = b.query_id AND a.metric = b.metric AND b.cell = '1-URGENT' AND a.cell <> '1-URGENT'),
         dr AS (SELECT cell, metric, n, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN -df ELSE df END) AS t, sum(df) AS obs, bool_or(df <> 0) AS moved FROM dd, (SELECT unnest(range(0, 16384))::INT AS mask) WHERE mask < (1 << n) GROUP BY 1, 2, 3, 4)
-        SELECT cell, metric, n, CASE WHEN n >= 2 AND bool_or(moved) THEN round(least(1.0, 2 * least(avg((t <= obs + 1e-9)::INT), avg((t >= obs - 1e-9)::INT))), 9) END AS perm_p FROM dr GROUP BY 1, 2, 3""",
+        SELECT cell, metric, n, CASE WHEN n >= 2 AND bool_or(moved) THEN round(least(1.0, 2 * least(avg((t <= obs + 1e-9)::INT), avg((t >= obs - 1e-9)::INT))), 9) END AS perm_p, 'exact' AS method FROM dr GROUP BY 1, 2, 3""",
     "ratio_permutation_exact": f"""
         WITH {_SEGMENTS}, q AS (SELECT a.cell, a.cost AS na, a.joint AS da, b.cost AS nb, b.joint AS db, row_number() OVER (PARTITION BY a.cell ORDER BY a.query_id) - 1 AS i, count(*) OVER (PARTITION BY a.cell) AS n FROM per a JOIN per b ON a.query_id = b.query_id AND b.cell = '1-URGENT' AND a.cell <> '1-URGENT'),
         s AS (SELECT cell, n, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN nb ELSE na END) AS x1, sum(CASE WHEN (mask >> i) & 1 = 1 THEN db ELSE da END) AS y1, sum(CASE WHEN (mask >> i) & 1 = 1 THEN na ELSE nb END) AS x2, sum(CASE WHEN (mask >> i) & 1 = 1 THEN da ELSE db END) AS y2 FROM q, (SELECT unnest(range(0, 16384))::INT AS mask) WHERE mask < (1 << n) GROUP BY 1, 2, 3),
         t AS (SELECT cell, n, mask, x1 / nullif(y1, 0) - x2 / nullif(y2, 0) AS t FROM s), o AS (SELECT cell, t AS obs FROM t WHERE mask = 0)
-        SELECT cell, n, round(max(obs), 6) AS delta, round(avg((t IS NULL OR abs(t) >= abs(obs) - 1e-9)::INT), 9) AS perm_p FROM t JOIN o USING (cell) GROUP BY 1, 2""",
+        SELECT cell, n, round(max(obs), 6) AS delta, round(avg((t IS NULL OR abs(t) >= abs(obs) - 1e-9)::INT), 9) AS perm_p, 'exact' AS method FROM t JOIN o USING (cell) GROUP BY 1, 2""",
     "seeded_bootstrap": f"""
         WITH {_SEGMENTS}, v AS (SELECT cell, list(cost ORDER BY query_id) AS v FROM per GROUP BY 1), b AS (SELECT unnest(range(1, 1000)) AS b),
         m AS (SELECT cell, len(v) AS n, round(list_sum(list_transform(range(1, len(v) + 1), lambda j: v[(('0x' || substr(md5(b || ':' || j), 1, 8))::BIGINT % len(v)) + 1])) / len(v), 9) AS m FROM v, b)

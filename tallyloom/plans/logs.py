@@ -166,6 +166,12 @@ SQL = {
     "missing_questions": f"WITH {_TURNS} SELECT DISTINCT question_id FROM questions WHERE question_id NOT IN (SELECT question_id FROM questions JOIN turns USING (key) WHERE conversation_id IS NOT NULL)",
     "sitting_groups": f"WITH {_SITTINGS} SELECT * FROM sit",
     "sitting_windows": f"WITH {_SITTINGS} SELECT conversation_id, floor((first_us - 60000000) / 60000000)::BIGINT * 60 AS start_s, ceil((last_us + 60000000) / 60000000)::BIGINT * 60 AS end_s FROM sit",
+    "sitting_greedy_merge": f"""
+        WITH {_TURNS}, h AS (SELECT conversation_id, question_id, min(t_us) AS t FROM questions JOIN turns USING (key) WHERE conversation_id IS NOT NULL GROUP BY 1, 2),
+        s AS (SELECT conversation_id, count(*) AS matched, min(t) AS first_us FROM h GROUP BY 1),
+        f AS (SELECT question_id, min((-matched, first_us, conversation_id)) AS p FROM h JOIN s USING (conversation_id) GROUP BY 1),
+        g AS (SELECT p, count(*) AS added FROM f GROUP BY 1)
+        SELECT 'all' AS cell, p[3] AS conversation_id, row_number() OVER (ORDER BY p) - 1 AS step, added FROM g""",
     "nearest_log_same_key": f"WITH {_NEAR} SELECT left_id, right_id, skew_us FROM (SELECT left_id, right_id, abs(lt - rt) AS skew_us, row_number() OVER (PARTITION BY left_id ORDER BY abs(lt - rt), rt DESC, right_id) AS n FROM l JOIN r USING (user_id) WHERE abs(lt - rt) <= 3600000000) WHERE n = 1",
     "nearest_log_any_key": f"WITH {_NEAR} SELECT left_id, right_id, skew_us FROM (SELECT left_id, right_id, abs(lt - rt) AS skew_us, row_number() OVER (PARTITION BY left_id ORDER BY abs(lt - rt), rt DESC, right_id) AS n FROM l JOIN r ON rt BETWEEN lt - 120000000 AND lt + 120000000) WHERE n = 1",
     "completion_links": """

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyloom.functions.arrays import parse_watts, settled, utilisation_watts
 from tallyloom.operators import context, energy, grid, ingest
@@ -27,27 +28,31 @@ def power_by_device(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    """Logged intervals as spans to be measured by meter-04."""
-    i = load(spark, d, "intervals").where("label is not null and start_at < end_at").select(F.col("interval_id").alias("span_id"), F.split("label", "/")[0].alias("cell"), F.unix_micros("start_at").alias("start_us"), F.unix_micros("end_at").alias("end_us")).distinct()
-    return i.withColumn("meter", F.lit("meter-04"))
+    """Logged intervals as spans, each measured by the meter its label falls on: meters in order, numbered from 0."""
+    i = load(spark, d, "intervals").where("label is not null and start_at < end_at").select("label", F.col("interval_id").alias("span_id"), F.split("label", "/")[0].alias("cell"), F.unix_micros("start_at").alias("start_us"), F.unix_micros("end_at").alias("end_us")).distinct()
+    meters = load(spark, d, "power_log").where("device is not null").select(F.col("device").alias("meter")).distinct().withColumn("_no", F.row_number().over(Window.orderBy("meter")) - 1)
+    total = F.broadcast(meters.agg(F.count("*").alias("_n")))
+    turn = F.conv(F.substring(F.md5("label"), 1, 8), 16, 10).cast("bigint") % F.col("_n")
+    return i.crossJoin(total).withColumn("_no", turn.cast("int")).join(meters, "_no").drop("_no", "_n", "label")
+
+
+def _metered(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(spark, d).where("device is not null").groupBy(F.col("device").alias("meter"), "at").agg(F.max("watts").alias("watts"))
 
 
 def energy_by_span(spark: SparkSession, d: str) -> DataFrame:
-    samples = _samples(spark, d).where("device = 'meter-04'").groupBy(F.col("device").alias("meter"), "at").agg(F.max("watts").alias("watts"))
-    per = energy.window_energy(_spans(spark, d), samples, max_gap_s=30.0)
+    per = energy.window_energy(_spans(spark, d), _metered(spark, d), max_gap_s=30.0)
     return per.select("span_id", "samples", "edges", settled(F.col("energy_wh"), 5).alias("energy_wh"), "covered_s")
 
 
 def energy_by_cell(spark: SparkSession, d: str) -> DataFrame:
-    samples = _samples(spark, d).where("device = 'meter-04'").groupBy(F.col("device").alias("meter"), "at").agg(F.max("watts").alias("watts"))
-    per = energy.window_energy(_spans(spark, d), samples, max_gap_s=30.0)
+    per = energy.window_energy(_spans(spark, d), _metered(spark, d), max_gap_s=30.0)
     return per.groupBy("cell").agg(F.count("*").alias("spans"), F.count("energy_wh").alias("measured"), settled(F.sum("covered_s"), 2).alias("covered_s"), settled(F.sum(settled(F.col("energy_wh"), 5)), 4).alias("energy_wh"))
 
 
 def cell_power(spark: SparkSession, d: str) -> DataFrame:
     """Mean power per cell behind a coverage gate, with a nameplate to fall back on."""
-    samples = _samples(spark, d).where("device = 'meter-04'").groupBy(F.col("device").alias("meter"), "at").agg(F.max("watts").alias("watts"))
-    per = energy.window_energy(_spans(spark, d), samples, max_gap_s=30.0).withColumn("span_s", (F.col("end_us") - F.col("start_us")) / 1e6)
+    per = energy.window_energy(_spans(spark, d), _metered(spark, d), max_gap_s=30.0).withColumn("span_s", (F.col("end_us") - F.col("start_us")) / 1e6)
     return context.gated_power(per, "cell", "span_s", "covered_s", "energy_wh", nameplate_w=65.0)
 
 
@@ -116,12 +121,15 @@ def measured_or_declared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_power_windows(spark: SparkSession, d: str) -> DataFrame:
-    """The power log driven through a stream once; rows only, windows the watermark has closed."""
+    """The power log driven through a stream once, into files read back: the windows that the watermark has closed."""
     from tallyloom.streaming import power
 
-    stream = power.minute_windows(power.power_stream(spark, d, pattern="power_log.parquet") if os.path.isfile(f"{d}/power_log.parquet") else power.power_stream(spark, f"{d}/power_log.parquet"), late="3650 days")
-    name = f"power_windows_{uuid.uuid4().hex}"
-    return power.run_once(stream, name, f"{checkpoint_dir(spark)}/{name}", mode="complete")
+    folder, pattern = (d, "power_log.parquet") if os.path.isfile(f"{d}/power_log.parquet") else (f"{d}/power_log.parquet", None)
+    # The log lies in no order of time, so all its files are one batch; the windows that stay open are those of the last minutes.
+    stream = power.minute_windows(power.power_stream(spark, folder, files_per_trigger=1_000_000, pattern=pattern))
+    place = f"{checkpoint_dir(spark)}/power_windows_{uuid.uuid4().hex}"
+    power.run_to_files(stream, f"{place}/rows", f"{place}/progress")
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows").select("device", "tag", F.unix_micros("start_at").alias("start_us"), "n", F.round("mean_w", 5).alias("mean_w"), "peak_w")
 
 
 QUERIES = {
@@ -132,14 +140,18 @@ QUERIES = {
     )
 }
 
-_SPANS = "spans AS (SELECT DISTINCT interval_id AS span_id, string_split(label, '/')[1] AS cell, epoch_us(start_at) AS start_us, epoch_us(end_at) AS end_us FROM intervals WHERE label IS NOT NULL AND start_at < end_at)"
+_SPANS = """
+    meters AS (SELECT device AS meter, row_number() OVER (ORDER BY device) - 1 AS no FROM (SELECT DISTINCT device FROM power_log WHERE device IS NOT NULL)),
+    spans AS (
+        SELECT DISTINCT interval_id AS span_id, string_split(label, '/')[1] AS cell, epoch_us(start_at) AS start_us, epoch_us(end_at) AS end_us, meter
+        FROM intervals JOIN meters ON no = ('0x' || substr(md5(label), 1, 8))::BIGINT % (SELECT count(*) FROM meters) WHERE label IS NOT NULL AND start_at < end_at)"""
 _ENERGY = f"""
     {READINGS}, {_SPANS},
-    m AS (SELECT at_us, max(watts) AS w FROM usable WHERE device = 'meter-04' GROUP BY 1),
+    m AS (SELECT device, at_us, max(watts) AS w FROM usable WHERE device IS NOT NULL GROUP BY 1, 2),
     pts AS (
-        SELECT span_id, at_us AS t, w, 1 AS inside FROM spans JOIN m ON at_us BETWEEN start_us AND end_us
-        UNION ALL SELECT span_id, start_us, arg_max(w, at_us), 0 FROM spans JOIN m ON at_us < start_us AND at_us >= start_us - 30000000 GROUP BY span_id, start_us
-        UNION ALL SELECT span_id, end_us, arg_min(w, at_us), 0 FROM spans JOIN m ON at_us > end_us AND at_us <= end_us + 30000000 GROUP BY span_id, end_us),
+        SELECT span_id, at_us AS t, w, 1 AS inside FROM spans JOIN m ON device = meter AND at_us BETWEEN start_us AND end_us
+        UNION ALL SELECT span_id, start_us, arg_max(w, at_us), 0 FROM spans JOIN m ON device = meter AND at_us < start_us AND at_us >= start_us - 30000000 GROUP BY span_id, start_us
+        UNION ALL SELECT span_id, end_us, arg_min(w, at_us), 0 FROM spans JOIN m ON device = meter AND at_us > end_us AND at_us <= end_us + 30000000 GROUP BY span_id, end_us),
     prs AS (SELECT *, lag(t) OVER (PARTITION BY span_id ORDER BY t, inside) AS t0, lag(w) OVER (PARTITION BY span_id ORDER BY t, inside) AS w0 FROM pts),
     tot AS (
         SELECT span_id, sum(inside) AS samples, count(*) - sum(inside) AS edges, coalesce(sum(CASE WHEN t > t0 AND (t - t0) / 1e6 <= 30 THEN 0.5 * (w + w0) * (t - t0) / 1e6 END), 0) AS j, coalesce(sum(CASE WHEN t > t0 AND (t - t0) / 1e6 <= 30 THEN (t - t0) / 1e6 END), 0) AS c FROM prs GROUP BY 1),
@@ -172,6 +184,9 @@ SQL = {
                    coalesce(sum(CASE WHEN dt > 60 THEN dt END), 0) AS g, (max(at_us) - min(at_us)) / 1e6 AS span FROM q GROUP BY 1, 2)
         SELECT device, tag, samples, round(j / 3600 + 1e-9, 6) AS energy_wh, round(c + 1e-6, 3) AS covered_s, round(j / c + 1e-6, 3) AS mean_w, round(pk + 1e-6, 3) AS peak_w, gaps, round(g + 1e-6, 3) AS gap_s, round(c / nullif(span, 0) + 1e-7, 4) AS coverage FROM s""",
     "power_by_device": f"WITH {READINGS} SELECT device, count(*) AS samples, round(avg(watts), 6) AS mean_w, max(watts) AS peak_w, count(DISTINCT tag) AS sittings FROM usable GROUP BY 1",
+    "stream_power_windows": rf"""
+        WITH {READINGS.replace("SELECT DISTINCT device", "SELECT device")}, e AS (SELECT max(at_us) // 1000 * 1000 - 600000000 AS mark FROM usable)
+        SELECT device, tag, at_us // 60000000 * 60000000 AS start_us, count(*) AS n, round(avg(watts), 5) AS mean_w, max(watts) AS peak_w FROM usable, e WHERE at_us // 60000000 * 60000000 + 60000000 <= mark GROUP BY ALL""",
     "energy_by_span": f"WITH {_ENERGY} SELECT span_id, samples, edges, energy_wh, covered_s FROM res",
     "energy_by_cell": f"WITH {_ENERGY} SELECT cell, count(*) AS spans, count(energy_wh) AS measured, round(sum(covered_s) + 1e-5, 2) AS covered_s, round(sum(energy_wh) + 1e-7, 4) AS energy_wh FROM res GROUP BY 1",
     "cell_power": f"""

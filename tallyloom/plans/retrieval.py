@@ -186,7 +186,9 @@ SQL = {
         SELECT query_id, round(coalesce(ap / nullif(hits, 0), 0), 6) AS context_precision, round(coalesce(hits, 0) / n_relevant, 6) AS context_recall, round(rl, 6) AS context_relevancy, first_hit_rank
         FROM relevant LEFT JOIN per USING (query_id) WHERE n_relevant > 0""",
     "similarity_top_k": f"WITH {_ranked_sql(50)} SELECT query_id, chunk_id, round(sim, 6) AS sim, rank FROM ranked",
-    "unit_vectors": "SELECT vec_id, 1.0::DOUBLE AS norm, len(embedding) AS dims FROM embeddings",
+    "unit_vectors": """
+        WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM n)
+        SELECT vec_id, round(list_dot_product(u, u), 6) AS norm, len(u) AS dims FROM u""",
     "served_pool_summary": """
         WITH r AS (SELECT DISTINCT record_id, cell_name, linked, top_n, top_k FROM query_records WHERE linked),
         h AS (SELECT cell_name, string_agg(top_n || ':' || n, ' ' ORDER BY top_n) AS top_n_values FROM (SELECT cell_name, top_n, count(*) AS n FROM r WHERE top_n IS NOT NULL GROUP BY 1, 2) GROUP BY 1)

@@ -199,7 +199,7 @@ SQL = {
         WITH b AS (SELECT DISTINCT built_id, text, {_LINES('text')} AS f, string_split_regex(text, '\\r\\n|\\r|\\n') AS l FROM built_chunks WHERE text IS NOT NULL),
         x AS (SELECT *, list_transform(f, lambda x: rtrim(x, ' ')) AS r FROM b)
         SELECT built_id, len(r) >= 2 AND (len(list_filter(r, lambda x: contains(x, '|'))) >= 2 OR len(list_filter(r, lambda x: contains(x, '  '))) >= greatest(2, floor(len(r) * 0.5)::INT)) AS table_like,
-               CASE WHEN length(text) = 0 THEN 0.0 ELSE round(len(list_filter(l[1:2000], lambda x: trim(regexp_replace(x, '{_BLANKS}', ' ', 'g'), ' ') = '')) / len(l[1:2000]), 6) END AS blank_ratio,
+               CASE WHEN length(text) = 0 THEN 0.0 ELSE round(len(list_filter(l, lambda x: trim(regexp_replace(x, '{_BLANKS}', ' ', 'g'), ' ') = '')) / len(l), 6) END AS blank_ratio,
                len(list_filter(f, lambda x: regexp_matches(x, '{_BULLET}'))) > 0 AS bulleted FROM x""",
     "tightened_tables": r"SELECT DISTINCT built_id, md5(regexp_replace(regexp_replace(table_raw, '[ \t]{2,}', ' ', 'g'), '\n(?:[ \t]*\n){2,}', chr(10) || chr(10), 'g')) AS digest FROM built_chunks WHERE table_raw IS NOT NULL",
     "filename_families": r"""

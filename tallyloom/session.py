@@ -44,11 +44,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster, or one of our own where none is set (tests, one machine)."""
+    """The shared folder named by the cluster, or one of our own where none is set and all runs on one machine."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     target = named or os.path.join(tempfile.gettempdir(), f"tallyloom-checkpoints-{os.getuid()}")
     spark.sparkContext.setCheckpointDir(target)
     return target
