@@ -20,17 +20,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Letters of other scripts that can't be told from a Latin letter by eye, in either case.
-# A Cyrillic letter goes with its capital's look-alike, so that changing case never changes the result.
+# A Cyrillic, Armenian, Cherokee or Coptic letter goes with its other case, so that changing case never changes the result.
 LOOK_ALIKES = {
-    "a": "А а Α α ɑ", "b": "В в Β", "c": "С с Ϲ ϲ", "e": "Е е Ε", "g": "ɡ", "h": "Н н Һ һ Η", "i": "І і Ι ι Ӏ",
+    "a": "А а Α α ɑ", "b": "В в Β", "c": "С с Ϲ ϲ", "e": "Е е Ε", "g": "ɡ", "h": "Н н Һ һ Η", "i": "І і Ι ι Ӏ ӏ",
     "j": "Ј ј Ϳ ϳ", "k": "К к Κ", "m": "М м Μ", "n": "Ν", "o": "О о Ο ο", "p": "Р р Ρ ρ", "q": "Ԛ ԛ", "s": "Ѕ ѕ",
     "t": "Т т Τ", "u": "υ", "v": "ν Ѵ ѵ", "w": "Ԝ ԝ", "x": "Х х Χ", "y": "У у Υ", "z": "Ζ", "d": "ԁ",
+    "l": "Ꮮ ꮮ", "r": "Ꭱ Ꮢ ꭱ ꮢ",
     "-": "‐ ‑ ⁃ ﹣", "–": "−", "'": "＇", "/": "∕ ⁄", ":": "∶ ꞉", ".": "․",
 }
+# More of them, by script.
+MORE_LOOK_ALIKES = {
+    "a": "Ꭺ ꭺ Ⲁ ⲁ", "b": "Ᏼ ᏼ Ⲃ ⲃ", "c": "Ꮯ ꮯ Ⲥ ⲥ", "d": "Ꭰ ꭰ", "e": "Ꭼ ꭼ Ⲉ ⲉ", "g": "Ց ց Ꮐ ꮐ", "h": "Հ հ Ꮋ ꮋ Ⲏ ⲏ", "i": "Ⲓ ⲓ", "j": "Յ յ Ꭻ ꭻ", "k": "Ꮶ ꮶ Ⲕ ⲕ",
+    "m": "Ꮇ ꮇ Ⲙ ⲙ", "n": "Ո ո Ⲛ ⲛ", "o": "Օ օ Ⲟ ⲟ", "p": "Ꮲ ꮲ Ⲣ ⲣ", "q": "Զ զ", "s": "Ꮪ ꮪ", "t": "Ꭲ ꭲ Ⲧ ⲧ", "u": "Ս ս", "v": "Ꮩ ꮩ", "w": "Ꮃ ꮃ", "x": "Ⲭ ⲭ", "y": "Ⲩ ⲩ", "z": "Ꮓ ꮓ Ⲍ ⲍ",
+}
 # Characters without ink that belong to no format category.
 BLANK_LIKE = "\u2800"
 INVISIBLE_MARKS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u3164\uffa0"
-LOOK_OF = {x: latin for latin, others in LOOK_ALIKES.items() for x in others.split()}
+LOOK_OF = {x: latin for table in (LOOK_ALIKES, MORE_LOOK_ALIKES) for latin, others in table.items() for x in others.split()}
 CONTROL_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
 
 
@@ -44,7 +50,7 @@ def _single(ch: str) -> str:
     if ch in LOOK_OF:
         return LOOK_OF[ch]
     kind = unicodedata.decomposition(ch).partition(" ")[0]
-    if kind in ("<wide>", "<narrow>") or 0xFB00 <= ord(ch) <= 0xFB06 or 0x2160 <= ord(ch) <= 0x217F:
+    if kind in ("<wide>", "<narrow>", "<font>") or 0xFB00 <= ord(ch) <= 0xFB06 or 0x2160 <= ord(ch) <= 0x217F:
         return "".join(LOOK_OF.get(x, x) for x in unicodedata.normalize("NFKC", ch))
     return ch
 

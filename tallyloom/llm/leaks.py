@@ -1,14 +1,16 @@
 """Passages of held-out test items inside a training corpus.
 
-The test side is small and bounded (its size is checked), so its word n-grams travel to every task as a hash set;
-each training text is scanned once, window by window, and every hit is verified on the words themselves.
+The word n-grams of the test side travel to every task as a hash set, in blocks of bounded size where it is large; each
+training text is scanned window by window, and every hit is verified on the words themselves.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -18,14 +20,15 @@ from pyspark.sql import functions as F
 
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 UNSEEN = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠎ㅤ︀-️ﾠ\U000E0100-\U000E01EF]+|[\p{Cc}--\s]+", flags=regex.V1)
-#: The most characters the test side may hold to be sent to every task.
-MAX_TEST_CHARS = 64_000_000
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+#: Characters of test items that are sent to every task at once (some 40 bytes of index a character, so 320 MB a worker).
+BLOCK_CHARS = 8_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters or digits, without regard to case, punctuation, kinds of blank and invisible characters."""
-    if not text.isascii():
+    if not text.isascii() or _CONTROL.search(text):
         text = unicodedata.normalize("NFC", UNSEEN.sub("", text))
     return WORDS.findall(text.casefold())
 
@@ -82,25 +85,26 @@ class TestGrams:
         return [(item, a, b) for item, (a, b) in out]
 
 
-def _test_grams(tests: DataFrame, item_id: str = "item_id", n: int = 10):
-    """The n-grams of the test side as a broadcast variable; raises where the side exceeds its bound."""
+def _test_grams(tests: DataFrame, item_id: str = "item_id", n: int = 10) -> list:
+    """The n-grams of the test side as broadcast variables, one per block of items of about BLOCK_CHARS characters at most."""
     size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size > MAX_TEST_CHARS:
-        raise ValueError(f"the test side holds {size} characters; the bound for broadcasting is {MAX_TEST_CHARS}")
-    items = [tuple(r) for r in tests.select(item_id, "text").where(f"{item_id} is not null").collect()]
-    return tests.sparkSession.sparkContext.broadcast(TestGrams(items, n))
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    out = []
+    for block in range(blocks):
+        mine = tests.select(item_id, "text").where(F.col(item_id).isNotNull() & (F.pmod(F.xxhash64(item_id), F.lit(blocks)) == block))
+        out.append(tests.sparkSession.sparkContext.broadcast(TestGrams([tuple(r) for r in mine.collect()], n)))
+    return out
 
 
 def find_leaks(corpus: DataFrame, tests: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", n: int = 10) -> DataFrame:
     """One row per (item, document) that share a run of at least n words: item_id, doc_id, n_spans, longest_run, covered_words, item_words.
 
-    Null or short texts and items share nothing; a repeated document or item counts once per id. A test side
-    over MAX_TEST_CHARS raises: it would have to be joined instead of broadcast.
+    Null or short texts and items share nothing; a repeated document or item counts once per id. A test side larger
+    than BLOCK_CHARS is broadcast in blocks, each with a scan of the corpus of its own.
     """
-    grams = _test_grams(tests, item_id, n)
     doc_type, item_type = corpus.schema[doc_id].dataType.simpleString(), tests.schema[item_id].dataType.simpleString()
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame], grams) -> Iterator[pd.DataFrame]:
         index = grams.value
         for pdf in batches:
             rows = []
@@ -114,7 +118,8 @@ def find_leaks(corpus: DataFrame, tests: DataFrame, *, doc_id: str = "doc_id", t
             yield pd.DataFrame(rows, columns=["item_id", "doc_id", "n_spans", "longest_run", "covered_words", "item_words"])
 
     wanted = corpus.select(doc_id, text).where(f"{doc_id} is not null and {text} is not null")
-    found = wanted.mapInPandas(scan, f"item_id {item_type}, doc_id {doc_type}, n_spans int, longest_run int, covered_words int, item_words int")
+    schema = f"item_id {item_type}, doc_id {doc_type}, n_spans int, longest_run int, covered_words int, item_words int"
+    found = reduce(DataFrame.unionByName, [wanted.mapInPandas(partial(scan, grams=g), schema) for g in _test_grams(tests, item_id, n)])
     return found.groupBy("item_id", "doc_id").agg(*(F.max(c).alias(c) for c in ("n_spans", "longest_run", "covered_words", "item_words")))
 
 
@@ -127,9 +132,12 @@ def without_spans(corpus: DataFrame, tests: DataFrame, *, doc_id: str = "doc_id"
     """(doc_id, text, removed_words): every text without the words it shares with a test item in runs of at least n.
 
     Texts that leak nothing stay as they are; others lose their invisible characters with the runs, and the words
-    around a run stay apart by a blank. Null texts stay null.
+    around a run stay apart by a blank. Null texts stay null. A test side larger than BLOCK_CHARS raises, since the runs of
+    all its items are cut at once.
     """
-    grams = _test_grams(tests, item_id, n)
+    grams, *more = _test_grams(tests, item_id, n)
+    if more:
+        raise ValueError(f"the test side holds more than {BLOCK_CHARS} characters")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = grams.value

@@ -9,6 +9,7 @@ has at most two open documents, which land on the choice that misses the token t
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,22 +28,32 @@ DEFAULT_TOKENIZER = os.environ.get("TALLYLOOM_TOKENIZER", "/opt/tokenizers/byte_
 SPLIT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: The most bytes a vocabulary file may hold to be sent to every task.
+MAX_VOCABULARY = 64_000_000
+
+
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("mixture", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens) of each document; a null text has no tokens. Texts are read whole."""
+    """(doc_id, source, tokens) of each document; a null text has no tokens. Texts are read whole.
+
+    The vocabulary file is read where the query is made and travels to the tasks, which need no file of their own.
+    """
+    if os.path.getsize(tokenizer) > MAX_VOCABULARY:
+        raise ValueError(f"the vocabulary file is larger than {MAX_VOCABULARY} bytes")
+    with open(tokenizer, "rb") as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(vocabulary.value).encode_ordinary
         for pdf in batches:
             n = [len(encode(s)) if s else 0 for s in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": n})
@@ -133,7 +144,7 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 20260) -> tuple[Data
     def flight(last: bool, level: int):
         def of_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("doc_id", ignore_index=True)
-            digest = int(np.frombuffer(f"{key[0]}|{key[1]}|{level}|{seed}".encode().ljust(64, b"\0")[:64], np.uint64).sum(dtype=np.uint64))
+            digest = int.from_bytes(hashlib.blake2b(f"{key[0]}|{key[1]}|{level}|{seed}".encode(), digest_size=8).digest())
             p = fly(pdf["pi"].to_numpy(), pdf["tokens"].to_numpy(), digest)
             return pdf.assign(pi=land(p, pdf["tokens"].to_numpy()) if last else p)
 

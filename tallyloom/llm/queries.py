@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import canonical, leaks, mixture, pairs, pieces, quantiles, residue, threads
-from tallyloom.session import load
+from tallyloom.session import load, materialise
 
 LATENCIES = {"latency_ms": 1, "retrieval_latency_ms": 0, "rerank_latency_ms": 0}
 FRACTIONS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -40,7 +40,7 @@ def p2_latency_by_day(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    facts = threads.message_facts(load(spark, d, "messages"), load(spark, d, "query_records"))
+    facts = materialise(threads.message_facts(load(spark, d, "messages"), load(spark, d, "query_records")))
     turns = threads.reassemble(facts)
     return facts, turns, threads.judge_conversations(facts, turns)
 
@@ -49,6 +49,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _conversations(spark, d)[2].where("not sound").select("conversation_id")
 
 
+def p3_judged(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation with its turns and why it is dropped, null where it is kept."""
+    return _conversations(spark, d)[2].select("conversation_id", "n_turns", "reason")
+
+
 def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
     """The turns of sound conversations in order, with the text of each."""
     _, turns, judged = _conversations(spark, d)
@@ -59,6 +64,11 @@ def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
     return sound.join(messages, "message_id").join(answers, "message_id", "left").select("conversation_id", "position", "role", "message_id", "created_at", text.alias("turn_text"))
 
 
+def p3_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p3_conversations with their time as microseconds."""
+    return p3_conversations(spark, d).withColumn("created_us", F.unix_micros("created_at")).drop("created_at")
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     chunks = load(spark, d, "built_chunks").select("built_id", "document_id", "chunk_index", "text").distinct()
     return pieces.split_oversized(chunks, keep=("built_id", "document_id", "chunk_index"))
@@ -132,7 +142,7 @@ def p10_residue(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_consistent_texts, p2_latency_percentiles, p2_latency_by_day, p3_found, p3_conversations, p4_found, p4_pieces, p4_pieces_checked,
+        p1_found, p1_consistent_texts, p2_latency_percentiles, p2_latency_by_day, p3_found, p3_judged, p3_conversations, p3_turns, p4_found, p4_pieces, p4_pieces_checked,
         p6_found, p8_found, p8_leaks, p8_clean_documents, p8_redacted_documents, p9_mixture, p9_shares, p10_found, p10_residue,
     )
 }
@@ -154,7 +164,33 @@ def _percentile_sql(keys: str) -> str:
     return f"WITH {_LATENCY_ROWS}, g AS (SELECT {keys}, measure, list_sort(list(x)) AS s FROM v GROUP BY ALL) SELECT {keys}, measure, len(s) AS n, {picks}, {quantiles.rank_error_bound(quantiles.DEFAULT_K)!r}::DOUBLE AS rank_error_bound FROM g"
 
 
+_TURNS_SQL = rf"""
+        WITH m AS (
+            SELECT DISTINCT message_id, conversation_id, created_at, lower(regexp_replace(coalesce(speaker, ''), '[\p{{Z}}\p{{C}}\s]+', '', 'g')) AS who,
+                   coalesce(regexp_matches(content, '{INK_SQL}'), false) AS seen
+            FROM messages WHERE conversation_id IS NOT NULL),
+        a AS (SELECT DISTINCT message_id FROM query_records WHERE message_id IS NOT NULL AND regexp_matches(answer_text, '{INK_SQL}')),
+        r AS (
+            SELECT m.*, seen OR a.message_id IS NOT NULL AS visible,
+                   CASE WHEN who IN ('user', 'human', 'customer') THEN 'ask' WHEN who IN ('assistant', 'ai', 'bot') THEN 'answer' WHEN who = 'system' THEN 'system' END AS role
+            FROM m LEFT JOIN a USING (message_id)),
+        t AS (
+            SELECT conversation_id, message_id, created_at, role, lag(role) OVER w AS before, row_number() OVER w AS n, count(*) OVER (PARTITION BY conversation_id) AS of
+            FROM r WHERE visible AND role IN ('ask', 'answer') AND created_at IS NOT NULL
+            WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, message_id)),
+        b AS (SELECT conversation_id, bool_or(role IS NULL OR (role <> 'system' AND created_at IS NULL)) AS unknown_row FROM r GROUP BY 1),
+        g AS (SELECT conversation_id, count(*) AS n_turns, bool_or(n = 1 AND role <> 'ask') AS bad_start, bool_or(coalesce(before = role, false)) AS bad_order, arg_max(role, n) AS last_role FROM t GROUP BY 1),
+        judged AS (
+            SELECT conversation_id, coalesce(n_turns, 0) AS n_turns,
+                   CASE WHEN n_turns IS NULL THEN 'empty' WHEN unknown_row THEN 'unknown_row' WHEN bad_start THEN 'bad_start' WHEN bad_order THEN 'bad_order' WHEN last_role <> 'answer' THEN 'no_reply' END AS reason
+            FROM b LEFT JOIN g USING (conversation_id))"""
+
 SQL = {
+    "p3_judged": f"{_TURNS_SQL} SELECT * FROM judged",
+    "p3_turns": rf"""{_TURNS_SQL},
+        c AS (SELECT message_id, any_value(content) AS content FROM messages GROUP BY 1), x AS (SELECT message_id, any_value(answer_text) AS answer_text FROM query_records WHERE message_id IS NOT NULL GROUP BY 1)
+        SELECT conversation_id, n - 1 AS position, role, message_id, epoch_us(created_at) AS created_us, CASE WHEN coalesce(regexp_matches(content, '{INK_SQL}'), false) THEN content ELSE answer_text END AS turn_text
+        FROM t JOIN judged USING (conversation_id) LEFT JOIN c USING (message_id) LEFT JOIN x USING (message_id) WHERE reason IS NULL""",
     "p2_latency_percentiles": _percentile_sql("cell_name, model"),
     "p2_latency_by_day": _percentile_sql("cell_name, model, day"),
     "p4_found": "SELECT DISTINCT built_id FROM built_chunks WHERE length(text) > 4000",

@@ -4,13 +4,15 @@
 pointer's pointer, so a path of n rows takes log2(n) joins; pointers to no row are orphans, rows that reach no
 root in that many rounds lie on or behind a cycle. `reassemble` derives the pointers of a message log: rows are
 range-partitioned by (conversation, time, id), so that one conversation may spread over many tasks; each task
-resolves the pointers inside its range, and only the few chains that cross a range border are jumped.
+jumps the pointers of all rows inside its range by squaring arrays, and the heads of the chains that cross a range border
+are jumped by joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -71,6 +73,16 @@ def resolve_roots(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return state.select("id", "root", F.when(F.col("done"), F.col("distance")).alias("distance"), "orphan", (~F.col("done")).alias("cyclic"))
 
 
+def jump(pointer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, steps to it) of every row by pointer jumping; a root points to itself."""
+    steps = (pointer != np.arange(len(pointer))).astype(np.int64)
+    while True:
+        further = pointer[pointer]
+        if np.array_equal(further, pointer):
+            return pointer, steps
+        steps, pointer = steps + steps[pointer], further
+
+
 LINK_SCHEMA = "conversation_id string, message_id string, role string, created_at timestamp, range_no int, segment_first string, local_position bigint, parent_id string, parent_role string, segment_end boolean"
 
 
@@ -101,11 +113,12 @@ def _link_batch(pdf: pd.DataFrame, last: tuple | None, part: int, following: str
         prev_conv.iloc[0], parent.iloc[0], parent_role.iloc[0] = last[0], last[1], last[2]
     starts = conv != prev_conv
     parent, parent_role = parent.mask(starts), parent_role.mask(starts)
-    group = starts.cumsum()
-    position = pdf.groupby(group).cumcount()
-    first = pdf["message_id"].groupby(group).transform("first")
+    heads = starts.to_numpy().copy()
+    heads[0] = True
+    root, distance = jump(np.where(heads, np.arange(len(pdf)), np.arange(len(pdf)) - 1))
+    position, first = pd.Series(distance), pd.Series(pdf["message_id"].to_numpy()[root])
     if last is not None and not starts.iloc[0]:
-        continued = group == 0
+        continued = pd.Series(root == 0)
         position = position.mask(continued, position + last[3] + 1)
         first = first.mask(continued, last[4])
     ends = conv != conv.shift(-1)
@@ -129,7 +142,7 @@ def message_facts(messages: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def reassemble(facts: DataFrame) -> DataFrame:
-    """Turns in order: conversation_id, position, message_id, role, created_at, parent_id, parent_role, root_id, segment ends.
+    """Turns in order: conversation_id, position, message_id, role, created_at, parent_id, parent_role, root_id, broken.
 
     Takes visible ask and answer rows with a time; order is created_at, then message_id.
     """
@@ -149,7 +162,7 @@ def reassemble(facts: DataFrame) -> DataFrame:
     })
     crossing = materialise(crossing)
     roots = resolve_roots(crossing.select(F.col("segment_first").alias("id"), "parent", F.coalesce("weight", F.lit(0)).cast("bigint").alias("weight")))
-    moved = roots.where("root <> id").join(crossing.select(F.col("segment_first").alias("id"), "head_parent", "head_parent_role"), "id").select(F.col("id").alias("segment_first"), "root", "distance", "head_parent", "head_parent_role")
+    moved = roots.where("cyclic or orphan or root <> id").join(crossing.select(F.col("segment_first").alias("id"), "head_parent", "head_parent_role"), "id").select(F.col("id").alias("segment_first"), "root", "distance", "head_parent", "head_parent_role", (F.col("orphan") | F.col("cyclic")).alias("broken"))
     head = F.col("message_id") == F.col("segment_first")
     return links.join(moved, "segment_first", "left").select(
         "conversation_id",
@@ -160,11 +173,12 @@ def reassemble(facts: DataFrame) -> DataFrame:
         F.when(head & F.col("head_parent").isNotNull(), F.col("head_parent")).otherwise(F.col("parent_id")).alias("parent_id"),
         F.when(head & F.col("head_parent").isNotNull(), F.col("head_parent_role")).otherwise(F.col("parent_role")).alias("parent_role"),
         F.coalesce("root", "segment_first").alias("root_id"),
+        F.coalesce("broken", F.lit(False)).alias("broken"),
     )
 
 
 def judge_conversations(facts: DataFrame, turns: DataFrame) -> DataFrame:
-    """One row per conversation: turns, sound, and why not: empty, unknown_row, bad_start, bad_order, no_reply.
+    """One row per conversation: turns, sound, and why not: empty, broken (an orphan or a cycle), unknown_row, bad_start, bad_order, no_reply.
 
     Sound conversations begin with asking, strictly alternate and end with an answer; any non-system row with
     unknown speaker or without a time makes one unsound, visible or not. Repeated rows count once,
@@ -176,10 +190,10 @@ def judge_conversations(facts: DataFrame, turns: DataFrame) -> DataFrame:
         F.max(F.col("parent_id").isNotNull() & (F.col("parent_role") == F.col("role"))).alias("bad_order"),
         F.max(F.col("parent_id").isNull() & (F.col("role") != "ask")).alias("bad_start"),
         F.max_by("role", "position").alias("last_role"),
-        F.countDistinct("root_id").alias("n_roots"),
+        F.countDistinct("root_id").alias("n_roots"), F.max("broken").alias("broken"),
     )
     reason = (
-        F.when(F.col("n_turns").isNull(), "empty").when(F.col("unknown_row"), "unknown_row").when(F.col("bad_start") | (F.col("n_roots") > 1), "bad_start")
+        F.when(F.col("n_turns").isNull(), "empty").when(F.col("broken"), "broken").when(F.col("unknown_row"), "unknown_row").when(F.col("bad_start") | (F.col("n_roots") > 1), "bad_start")
         .when(F.col("bad_order"), "bad_order").when(F.col("last_role") != "answer", "no_reply")
     )
     return rows.join(paths, "conversation_id", "left").select("conversation_id", F.coalesce("n_turns", F.lit(0)).alias("n_turns"), reason.isNull().alias("sound"), reason.alias("reason"))

@@ -34,15 +34,24 @@ def test_equals_brute_force(spark, small_dir):
     assert got == want and got
 
 
-def test_clean_documents_and_bound(spark, monkeypatch):
+def test_clean_documents_and_blocks(spark, monkeypatch):
     d = spark.createDataFrame([(1, ITEM), (2, "clean")], "doc_id bigint, text string")
     t = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     assert [r.doc_id for r in L.without_leaks(d, L.find_leaks(d, t)).collect()] == [2]
-    monkeypatch.setattr(L, "MAX_TEST_CHARS", 5)
+    # A test side beyond one block gives what a single one gives, and only the cutting of spans still raises.
     import pytest
 
+    many = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"so w{i}x0 " + " ".join(f"w{i}x{j}" for j in range(12)) + " w") for i in range(0, 40, 3)], "doc_id bigint, text string")
+    whole = {tuple(r) for r in L.find_leaks(docs, many).collect()}
+    monkeypatch.setattr(L, "BLOCK_CHARS", 500)
+    assert {tuple(r) for r in L.find_leaks(docs, many).collect()} == whole and len(whole) == 14
     with pytest.raises(ValueError):
-        L.find_leaks(d, t)
+        L.without_spans(docs, many)
+
+
+def test_control_characters_are_invisible_in_any_text():
+    assert L.words_of("fo\x00o bar") == ["foo", "bar"] and L.words_of("fo\x00o bär") == ["foo", "bär"] and L.words_of("a\tb\nc") == ["a", "b", "c"]
 
 
 def test_very_long_text():
