@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 
 def _rows(df: DataFrame, name: str, ok: Column, got: Column, expected: Column) -> DataFrame:
-    passed = F.coalesce(ok, F.lit(False))
-    return df.select(F.lit(name).alias("check_name"), F.col("cell"), F.col("metric"), F.when(passed, "pass").otherwise("fail").alias("status"), got.cast("string").alias("got"), expected.cast("string").alias("expected"))
+    return df.select(F.lit(name).alias("check_name"), F.col("cell"), F.col("metric"), F.when(ok, "pass").otherwise("fail").alias("status"), got.cast("string").alias("got"), expected.cast("string").alias("expected"))
 
 
 def verify_deltas(deltas: DataFrame, contrasts: int) -> DataFrame:
@@ -28,6 +27,31 @@ def verify_deltas(deltas: DataFrame, contrasts: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def verify_report(cells: DataFrame, deltas: DataFrame, *, reference: str, grid: list[str], offgrid: list[str] = ()) -> DataFrame:
+    """Every check of a whole report: its levels, its blocks of deltas, and how they fit together.
+
+    cells(cell, metric, n, mean, ci_low, ci_high); deltas(cell, metric, block grid or offgrid, n, delta, ci_low, ci_high,
+    significant, method, perm_p, perm_p_bonferroni). Grid deltas are corrected for len(grid) - 1 contrasts, off-grid ones
+    for none. A flag that is missing is skipped, not failed.
+    """
+    contrasts = max(1, len(grid) - 1)
+    parts = [_rows(cells.where("ci_low is not null and ci_high is not null"), "level_within_ends", (F.col("mean") >= F.col("ci_low") - 1e-9) & (F.col("mean") <= F.col("ci_high") + 1e-9), F.col("mean"), F.col("ci_low"))]
+    for block, k in (("grid", contrasts), ("offgrid", 1)):
+        parts.append(verify_deltas(deltas.where(F.col("block") == block), k))
+    # Pairs can't be more than either cell's questions; each cell stands in its own block, and the blocks are whole.
+    sizes = cells.select("cell", "metric", F.col("n").alias("cell_n"))
+    ref = cells.where(F.col("cell") == reference).select("metric", F.col("n").alias("ref_n"))
+    paired = deltas.join(sizes, ["cell", "metric"], "left").join(ref, "metric", "left")
+    parts.append(_rows(paired, "paired_within_cells", F.col("n") <= F.least("cell_n", "ref_n"), F.col("n"), F.least("cell_n", "ref_n")))
+    home = F.when(F.col("cell").isin(*grid), "grid").when(F.col("cell").isin(*offgrid), "offgrid")
+    parts.append(_rows(deltas, "block_of_cell", (F.col("block") == home) & (F.col("cell") != reference), F.col("block"), home))
+    family = cells.select("metric").distinct().join(deltas.where("block = 'grid'").groupBy("metric").agg(F.countDistinct("cell").alias("got")), "metric", "left").withColumns({"cell": F.lit("all"), "got": F.coalesce("got", F.lit(0))})
+    parts.append(_rows(family, "family_size", F.col("got") == len(grid) - 1, F.col("got"), F.lit(len(grid) - 1)))
+    held = cells.groupBy("metric").agg(F.count_if(F.col("cell") == reference).alias("got")).withColumn("cell", F.lit(reference))
+    parts.append(_rows(held, "reference_present", F.col("got") == 1, F.col("got"), F.lit(1)))
+    return reduce(DataFrame.unionByName, parts).withColumn("status", F.when((F.col("check_name") == "flag_matches_ends") & F.col("got").isNull(), "skip").otherwise(F.col("status")))
+
+
 def verify_ratios(cells: DataFrame, slack: float = 5e-9) -> DataFrame:
     """The ratio identity numerator / denominator = ratio within the rounding slack of its inputs, and rates within [0, 1]."""
     base = cells.withColumn("metric", F.lit("ratio"))
