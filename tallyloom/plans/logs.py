@@ -44,7 +44,8 @@ def question_probe_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def missing_questions(spark: SparkSession, d: str) -> DataFrame:
     turns = linkage.asked_turns(load(spark, d, "messages")).where("conversation_id is not null").select("key").distinct()
-    q = _questions(spark, d)
+    nobody = spark.range(1).select(F.lit("q_nobody").alias("question_id"), F.lit("a question that nobody asked").alias("key"))
+    q = _questions(spark, d).unionByName(nobody)
     found = q.join(turns, "key", "left_semi").select("question_id").distinct()
     return q.select("question_id").distinct().join(found, "question_id", "left_anti")
 
@@ -163,7 +164,7 @@ SQL = {
         newest AS (SELECT * FROM (SELECT message_id AS answer_id, record_id, provider, model, row_number() OVER (PARTITION BY message_id ORDER BY logged_at DESC NULLS LAST, record_id DESC) AS n FROM query_records WHERE message_id IS NOT NULL) WHERE n = 1)
         SELECT question_id, firsts.message_id, answers.answer_id, wait_us, record_id, provider, model, answers.answer_id IS NOT NULL AS linked FROM firsts LEFT JOIN answers USING (message_id) LEFT JOIN newest ON answers.answer_id = newest.answer_id""",
     "question_probe_counts": f"WITH {_TURNS} SELECT question_id, count(message_id) AS n_turns FROM questions LEFT JOIN turns USING (key) GROUP BY 1",
-    "missing_questions": f"WITH {_TURNS} SELECT DISTINCT question_id FROM questions WHERE question_id NOT IN (SELECT question_id FROM questions JOIN turns USING (key) WHERE conversation_id IS NOT NULL)",
+    "missing_questions": f"WITH {_TURNS} SELECT DISTINCT question_id FROM questions WHERE question_id NOT IN (SELECT question_id FROM questions JOIN turns USING (key) WHERE conversation_id IS NOT NULL) UNION ALL SELECT 'q_nobody'",
     "sitting_groups": f"WITH {_SITTINGS} SELECT * FROM sit",
     "sitting_windows": f"WITH {_SITTINGS} SELECT conversation_id, floor((first_us - 60000000) / 60000000)::BIGINT * 60 AS start_s, ceil((last_us + 60000000) / 60000000)::BIGINT * 60 AS end_s FROM sit",
     "sitting_greedy_merge": f"""
