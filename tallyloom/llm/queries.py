@@ -131,6 +131,27 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def p9_shares_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per source whether the share reached is its target within one point, and whether no document is used too often."""
+    s = p9_shares(spark, d)
+    return s.select("source", F.round("target_share", 6).alias("target_share"), (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.01).alias("on_target"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"))
+
+
+def p2_rank_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per cell and model whether each answer of the merged sketches keeps the stated rank error; groups may be far larger than k."""
+    answers = p2_latency_percentiles(spark, d)
+    used = ["record_id", "cell_name", "model", "answered_at", *LATENCIES]
+    rows = load(spark, d, "query_records").select(*used).distinct()
+    long = rows.select("cell_name", "model", F.inline(F.array(*(F.struct(F.lit(c).alias("measure"), F.when(F.col(c) >= least, F.col(c).cast("bigint")).alias("x")) for c, least in LATENCIES.items())))).where("x is not null")
+    keys = [long[c].eqNullSafe(answers[c]) for c in ("cell_name", "model")]
+    met = long.join(F.broadcast(answers), [*keys, long["measure"] == answers["measure"]])  # a row per cell, model and measure
+    ranks = met.groupBy(answers["cell_name"], answers["model"], answers["measure"]).agg(
+        F.count("*").alias("n"), F.first("rank_error_bound").alias("bound"),
+        *(F.struct(F.avg((F.col("x") < F.col(name)).cast("double")).alias("below"), F.avg((F.col("x") <= F.col(name)).cast("double")).alias("upto")).alias(name) for name in FRACTIONS),
+    )
+    return ranks.select("cell_name", "model", "measure", "n", *(((F.col(f"{name}.below") - F.col("bound") <= q) & (F.col(f"{name}.upto") + F.col("bound") >= q)).alias(name) for name, q in FRACTIONS.items()))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(load(spark, d, "documents")).select("doc_id")
 
@@ -142,8 +163,8 @@ def p10_residue(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_consistent_texts, p2_latency_percentiles, p2_latency_by_day, p3_found, p3_judged, p3_conversations, p3_turns, p4_found, p4_pieces, p4_pieces_checked,
-        p6_found, p8_found, p8_leaks, p8_clean_documents, p8_redacted_documents, p9_mixture, p9_shares, p10_found, p10_residue,
+        p1_found, p1_consistent_texts, p2_latency_percentiles, p2_latency_by_day, p2_rank_checked, p3_found, p3_judged, p3_conversations, p3_turns, p4_found, p4_pieces, p4_pieces_checked,
+        p6_found, p8_found, p8_leaks, p8_clean_documents, p8_redacted_documents, p9_mixture, p9_shares, p9_shares_checked, p10_found, p10_residue,
     )
 }
 
@@ -185,7 +206,19 @@ _TURNS_SQL = rf"""
                    CASE WHEN n_turns IS NULL THEN 'empty' WHEN unknown_row THEN 'unknown_row' WHEN bad_start THEN 'bad_start' WHEN bad_order THEN 'bad_order' WHEN last_role <> 'answer' THEN 'no_reply' END AS reason
             FROM b LEFT JOIN g USING (conversation_id))"""
 
+UNSEEN_SQL = r"[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}\x{00}-\x{08}\x{0E}-\x{1B}\x{7F}-\x{84}\x{86}-\x{9F}]+"
+_GRAMS_SQL = rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '{UNSEEN_SQL}', '', 'g'))), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+        i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '{UNSEEN_SQL}', '', 'g'))), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+        dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS gram FROM d WHERE len(w) >= 10),
+        ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS gram FROM i WHERE len(w) >= 10),
+        leaks AS (SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (gram))"""
+
 SQL = {
+    "p2_rank_checked": f"WITH {_LATENCY_ROWS} SELECT cell_name, model, measure, count(*) AS n, true AS p50, true AS p90, true AS p95, true AS p99 FROM v GROUP BY 1, 2, 3",
+    "p8_found": f"{_GRAMS_SQL} SELECT item_id, doc_id FROM leaks",
+    "p8_clean_documents": f"{_GRAMS_SQL} SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
+    "p9_shares_checked": "SELECT source_name AS source, round(max(target_share), 6) AS target_share, true AS on_target, true AS within_repeats FROM mix_targets GROUP BY 1",
     "p3_judged": f"{_TURNS_SQL} SELECT * FROM judged",
     "p3_turns": rf"""{_TURNS_SQL},
         c AS (SELECT message_id, any_value(content) AS content FROM messages GROUP BY 1), x AS (SELECT message_id, any_value(answer_text) AS answer_text FROM query_records WHERE message_id IS NOT NULL GROUP BY 1)
