@@ -92,10 +92,23 @@ def sentences_of(text: str) -> list[str]:
     return [s.strip() for s in SENTENCE.split(text) if s.strip()]
 
 
+def split_word(word: str, count: Callable[[str], int], budget: int) -> list[str]:
+    """A word in as few parts as the budget allows; a single character is never cut."""
+    parts = []
+    while len(word) > 1 and count(word) > budget:
+        fits, beyond = 1, len(word)
+        while beyond - fits > 1:
+            middle = (fits + beyond) // 2
+            fits, beyond = (middle, beyond) if count(word[:middle]) <= budget else (fits, middle)
+        parts.append(word[:fits])
+        word = word[fits:]
+    return [*parts, word]
+
+
 def split_words(text: str, count: Callable[[str], int], budget: int) -> list[str]:
-    """Parts at blanks within the budget; a single word beyond it stands alone."""
+    """Parts at blanks within the budget; a word beyond it is cut."""
     parts, held, used = [], [], 0
-    for w in text.split():
+    for w in (part for word in text.split() for part in split_word(word, count, budget)):
         n = count(w)
         if held and used + n > budget:
             parts.append(" ".join(held))

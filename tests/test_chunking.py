@@ -47,3 +47,10 @@ def test_blocks():
     assert C.blocks_of("one\ntwo\n\nthree") == ["one\ntwo", "three"] or C.blocks_of("one\ntwo\n\nthree") == ["one two", "three"]
     assert C.blocks_of("- a\n- b") == ["- a", "- b"]
     assert C.table_like("a  b\nc  d") and not C.table_like("plain\ntext")
+
+
+def test_words_beyond_the_budget_are_cut():
+    by_two = lambda s: sum(-(-len(w) // 2) for w in s.split())
+    assert C.split_words("ab " + "x" * 21 + " cd", by_two, 4) == ["ab", "xxxxxxxx", "xxxxxxxx", "xxxxx cd"]
+    assert C.split_word("é", lambda s: 9, 4) == ["é"] and C.split_word("", by_two, 4) == [""]
+    assert all(by_two(p) <= 4 for p in C.split_words("y" * 1001 + " z", by_two, 4))
