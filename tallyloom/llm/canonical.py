@@ -70,6 +70,7 @@ def _quick_check_fails(ch: str) -> bool:
         or not unicodedata.is_normalized("NFC", ch)
         or 0x1160 <= ord(ch) <= 0x11FF  # jamo that join the syllable before them
         or _canon(ch) != ch
+        or not unicodedata.is_normalized("NFC", ch.casefold())
     )
 
 
@@ -89,11 +90,16 @@ def unstable_pattern() -> re.Pattern:
 
 @lru_cache(maxsize=100_000)
 def _short_segment(segment: str) -> str:
-    return _canon(segment)
+    return _folded_segment(segment)
+
+
+def _folded_segment(segment: str) -> str:
+    return unicodedata.normalize("NFC", _canon(segment).casefold())
 
 
 def _canon_segment(segment: str) -> str:
-    return _short_segment(segment) if len(segment) <= 16 else _canon(segment)
+    """The consistent form of an unstable segment with the stable character before it, without regard to case."""
+    return _short_segment(segment) if len(segment) <= 16 else _folded_segment(segment)
 
 
 def canonical(text: str | None) -> str | None:
@@ -110,10 +116,10 @@ def canonical(text: str | None) -> str | None:
     parts, done = [], 0
     for m in unstable_pattern().finditer(text):
         start = max(done, m.start() - 1)  # one stable character before the run, for marks to join
-        parts += (text[done:start], _canon_segment(text[start : m.end()]))
+        parts += (text[done:start].casefold(), _canon_segment(text[start : m.end()]))
         done = m.end()
-    parts.append(text[done:])
-    return " ".join(x for x in unicodedata.normalize("NFC", "".join(parts).casefold()).split(" ") if x)
+    parts.append(text[done:].casefold())  # what passes the quick check stays normal when its case is folded
+    return " ".join(x for x in "".join(parts).split(" ") if x)
 
 
 #: What is invisible among the plain characters; those that separate words are blanks.
