@@ -49,8 +49,27 @@ def nearest_with_key(left: DataFrame, right: DataFrame, keys: Sequence[str], lef
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, left_at: str, right_at: str, tolerance: float) -> DataFrame:
-    """As nearest_with_key, for tables that share no key."""
-    return nearest_with_key(left, right, [], left_at, right_at, tolerance)
+    """As nearest_with_key, for tables that share no key: left_id, right_id, right_at, skew.
+
+    Without a key a join would pair all rows of a stretch of time. Both sides are laid in one line instead: inside a bucket
+    as long as the tolerance each left row sees the right row before and after it, and where it has none there, the last
+    one of the bucket before or the first one of the bucket after. Of right rows at one moment the least id counts.
+    """
+    rights = right.where(F.col(right_at).isNotNull()).groupBy(F.col(right_at).alias("_at")).agg(F.min("right_id").alias("right_id"))
+    mark = F.struct(F.col("_at").alias("right_at"), "right_id")
+    lefts = left.where(F.col(left_at).isNotNull()).select(F.col("left_id"), F.col(left_at).alias("_at"), F.lit(True).alias("_left"))
+    line = lefts.unionByName(rights.select("_at", mark.alias("_mark"), F.lit(False).alias("_left")), allowMissingColumns=True).withColumn("_b", F.floor(F.col("_at") / tolerance))
+    order = Window.partitionBy("_b").orderBy("_at", "_left")
+    seen = line.withColumns({
+        "_before": F.last("_mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "_after": F.first("_mark", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
+    }).where("_left")
+    ends = rights.select(F.floor(F.col("_at") / tolerance).alias("_b"), mark.alias("m")).groupBy("_b").agg(F.max("m").alias("_last"), F.min("m").alias("_first"))
+    seen = seen.join(ends.select((F.col("_b") + 1).alias("_b"), "_last"), "_b", "left").join(ends.select((F.col("_b") - 1).alias("_b"), "_first"), "_b", "left")
+    near = seen.select("left_id", "_at", F.explode(F.array(F.coalesce("_before", "_last"), F.coalesce("_after", "_first"))).alias("m")).where("m is not null")
+    near = near.select("left_id", "m.right_id", "m.right_at", F.abs(F.col("_at") - F.col("m.right_at")).alias("skew")).where(F.col("skew") <= tolerance)
+    best = near.groupBy("left_id").agg(F.min_by(F.struct("right_id", "right_at", "skew"), F.struct("skew", -F.col("right_at"), "right_id")).alias("best"))
+    return best.select("left_id", "best.*")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: Sequence[str]) -> DataFrame:
