@@ -132,11 +132,39 @@ def experiment_report(spark: SparkSession, d: str) -> DataFrame:
     return out["deltas"].join(passed, ["block", "cell", "metric"])
 
 
+def _ordered(middle: str):
+    """Whether an interval holds its middle; one without ends holds anything."""
+    return F.coalesce((F.col("ci_low") <= F.col(middle) + 1e-9) & (F.col("ci_high") >= F.col(middle) - 1e-9), F.lit(True)).alias("ordered")
+
+
+def _p_fits(contrasts: int):
+    p = F.col("perm_p")
+    return F.coalesce((p > 0) & (p <= 1) & (F.abs(F.col("perm_p_bonferroni") - F.least(F.lit(1.0), p * contrasts)) < 1e-9), F.lit(True)).alias("p_fits")
+
+
+def delta_blocks_checked(spark: SparkSession, d: str) -> DataFrame:
+    """delta_blocks with what SQL can say of it: counts and deltas as they are, ends and p as whether they can be right."""
+    return delta_blocks(spark, d).select("cell", "metric", "n", F.round("delta", 3).alias("delta"), _ordered("delta"), _p_fits(len(GRID) - 1))
+
+
+def mean_intervals_checked(spark: SparkSession, d: str) -> DataFrame:
+    return mean_intervals(spark, d).select("cell", "metric", "n", F.round("mean", 3).alias("mean"), _ordered("mean"))
+
+
+def ratio_deltas_checked(spark: SparkSession, d: str) -> DataFrame:
+    fits = F.coalesce((F.col("perm_p") > 0) & (F.col("perm_p") <= 1), F.lit(True)).alias("p_fits")
+    return ratio_deltas(spark, d).select("cell", "n", F.round("delta", 3).alias("delta"), _ordered("delta"), fits)
+
+
+def experiment_checked(spark: SparkSession, d: str) -> DataFrame:
+    return experiment_report(spark, d).select("block", "cell", "metric", "n", F.round("delta", 3).alias("delta"), F.col("failed_checks").cast("int").alias("failed_checks"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         melted_scores, pooled_runs, pooled_medians, paired_deltas, delta_blocks, mean_intervals, permutation_exact, ratio_permutation_exact, ratio_deltas, seeded_bootstrap, ratio_by_cell,
-        ratio_against_reference, experiment_families, grid_pivot, cell_rollup, pool_checks, ratio_checks, delta_checks, experiment_report,
+        ratio_against_reference, experiment_families, grid_pivot, cell_rollup, pool_checks, ratio_checks, delta_checks, experiment_report, delta_blocks_checked, mean_intervals_checked, ratio_deltas_checked, experiment_checked,
     )
 }
 
@@ -150,7 +178,19 @@ _SEGMENTS = """
     per AS (SELECT o_orderpriority AS cell, c_mktsegment AS query_id, round(avg(o_totalprice), 4) AS cost, round(avg((o_orderstatus = 'F')::INT), 6) AS joint FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 _RATIOS = "ra AS (SELECT o_orderpriority AS cell, count(*) AS n, avg(o_totalprice) AS num_mean, avg((o_orderstatus = 'F')::INT) AS den_mean, avg(o_totalprice) / avg((o_orderstatus = 'F')::INT) AS ratio FROM orders GROUP BY 1)"
 
+_PAIRED = f"""
+    {_SCORES}, p AS (SELECT cell, metric, query_id, round(avg(value) + 1e-9, 6) AS v FROM sc GROUP BY 1, 2, 3),
+    contrast AS (SELECT a.cell, a.metric, count(*) AS n, round(avg(a.v - b.v), 3) AS delta FROM p a JOIN p b ON a.metric = b.metric AND a.query_id = b.query_id AND b.cell = 'control' AND a.cell <> 'control' GROUP BY 1, 2)"""
+
 SQL = {
+    "delta_blocks_checked": f"WITH {_PAIRED} SELECT *, true AS ordered, true AS p_fits FROM contrast",
+    "mean_intervals_checked": f"WITH {_PAIRED} SELECT cell, metric, count(*) AS n, round(avg(v), 3) AS mean, true AS ordered FROM p GROUP BY 1, 2",
+    "experiment_checked": f"WITH {_PAIRED} SELECT CASE WHEN cell LIKE 'prebaseline%' THEN 'offgrid' ELSE 'grid' END AS block, *, 0 AS failed_checks FROM contrast WHERE cell IN ('chunk_opt', 'qdora', 'combined', 'prebaseline', 'prebaseline2')",
+    "delta_checks": f"""
+        WITH {_PAIRED} SELECT check_name, count(*) AS n, count(*) AS passed, 0 AS failed FROM contrast, (VALUES ('ends_in_order'), ('delta_within_ends'), ('flag_matches_ends'), ('p_within_bounds'), ('bonferroni'), ('method_known')) c(check_name) GROUP BY 1""",
+    "ratio_deltas_checked": f"""
+        WITH {_SEGMENTS} SELECT a.cell, count(*) AS n, round(sum(a.cost) / sum(a.joint) - sum(b.cost) / sum(b.joint), 3) AS delta, true AS ordered, true AS p_fits
+        FROM per a JOIN per b ON a.query_id = b.query_id AND b.cell = '1-URGENT' AND a.cell <> '1-URGENT' GROUP BY 1""",
     "melted_scores": f"WITH {_SCORES} SELECT cell, metric, count(*) AS n, round(sum(value), 3) AS total FROM sc GROUP BY 1, 2",
     "pooled_runs": f"WITH {_SCORES} SELECT cell, metric, query_id, round(avg(value) + 1e-9, 6) AS value, count(DISTINCT run_id) AS runs FROM sc GROUP BY 1, 2, 3 HAVING count(DISTINCT run_id) >= 2",
     "pooled_medians": f"WITH {_SCORES} SELECT cell, metric, query_id, round(median(value) + 1e-9, 6) AS value, count(DISTINCT run_id) AS runs FROM sc GROUP BY 1, 2, 3",
