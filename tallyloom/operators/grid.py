@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.session import materialise
+from tallyloom.session import materialise, shuffle_width
 
 MINUTE, DAY = 60, 86_400
 #: Variance of the level and of the slope before the first observation.
@@ -272,7 +272,9 @@ def minute_grid(log: DataFrame) -> DataFrame:
     known = days.join(series, days["device"].eqNullSafe(series["device"]) & days["tag"].eqNullSafe(series["tag"])).select(days["device"], days["tag"], "day", "minutes", "r", "s", "n_days")
     known = materialise(known)
     elements = known.where("n_days > 1").drop("n_days").mapInPandas(_day_elements, _DAY_SCHEMA)
-    states = elements.groupBy("device", "tag").applyInPandas(_chain_days, _STATE_SCHEMA)
+    # A row is small but dear, so tasks are counted by rows and not merged by size.
+    width = shuffle_width(log.sparkSession)
+    states = elements.repartition(width, "device", "tag").groupBy("device", "tag").applyInPandas(_chain_days, _STATE_SCHEMA)
     joint = known["device"].eqNullSafe(states["device"]) & known["tag"].eqNullSafe(states["tag"]) & (known["day"] == states["day"])
     ready = known.join(states, joint, "left").select(known["device"], known["tag"], "minutes", "r", "s", "before", "before_s", "ahead", "ahead_s", "next_minute")
-    return ready.mapInPandas(_smooth_rows, _GRID_SCHEMA)
+    return ready.repartition(width).mapInPandas(_smooth_rows, _GRID_SCHEMA)
