@@ -65,8 +65,8 @@ def _scored(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     and number hash to 0 of 20 asks, and the chunks that span its page are relevant."""
     pages = _pages(spark, d).where("length(trim(text)) > 0").withColumn("id", F.xxhash64("document", "page"))
     embed = hooks.embedding_udf()
-    asked = materialise(pages.where("pmod(id, 20) = 0").groupBy("id").agg(F.first("document").alias("document"), F.first("page").alias("page"), F.min("text").alias("text")))
-    asks = asked.select(F.col("id").alias("query_id"), "document", F.greatest("page", F.lit(1)).alias("page"), embed(F.substring_index("text", ".", 1)).alias("query_vec"))
+    asked = pages.where("pmod(id, 20) = 0").groupBy("id").agg(F.first("document").alias("document"), F.first("page").alias("page"), F.min("text").alias("text"))
+    asks = materialise(asked.select(F.col("id").alias("query_id"), "document", F.greatest("page", F.lit(1)).alias("page"), embed(F.substring_index("text", ".", 1)).alias("query_vec")))
     out = None
     for name, rule in (("words", chunking.word_budget()), ("tokens", chunking.token_budget()), ("structure", chunking.structure_aware())):
         c = chunking.chunk_documents(_pages(spark, d), rule).select("document", "page_start", "page_end", "text", "word_count", F.xxhash64("document", "chunk_index", F.lit(name)).alias("chunk_id"))

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,26 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert rows(ranking.similar_chunks(asked, all_v, 3), "query_id", "rank") == whole and len(whole) == 120
 
 
+def test_top_k_is_that_of_all_pairs(spark, monkeypatch):
+    from tallyloom.functions.arrays import dot
+
+    rng = np.random.default_rng(7)
+    some = np.round(rng.normal(size=(300, 8)), 1).astype("f4")
+    some[50:90], some[90:95], some[100] = some[0], 0, some[1] + np.float32(1e-7)
+    vectors = [(i, v.tolist()) for i, v in enumerate(some)]
+    odd = [(1001, None), (1002, [1.0] * 7 + [None]), (1003, [1.0] * 7), (1004, [float("nan")] * 8), (1005, [1e30] * 8), (None, [1.0] * 8)]
+    all_v = spark.createDataFrame(vectors + odd, "chunk_id bigint, chunk_vec array<float>").repartition(3)
+    asked = spark.createDataFrame(vectors[::20] + [(5000, [0.0] * 8), (5001, [3.0] * 8)], "query_id bigint, query_vec array<float>")
+    monkeypatch.setattr(ranking, "CHUNK_TILE", 17)
+    for k, chunks, queries in ((4, all_v, asked), (4, all_v.limit(0), asked), (400, all_v, asked), (3, all_v, asked.unionByName(spark.createDataFrame([(5002, None), (5003, [2.0])], asked.schema)))):
+        pairs = chunks.crossJoin(queries).where("query_id <> chunk_id").withColumn("sim", F.round(dot(F.col("query_vec"), F.col("chunk_vec")), 9))
+        want = pairs.selectExpr("query_id", "chunk_id", "string(sim)", "row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank").where(F.col("rank") <= k)
+        got = ranking.similar_chunks(queries, chunks, k)
+        assert rows(got.withColumn("sim", F.col("sim").cast("string")), "query_id", "rank") == rows(want, "query_id", "rank")
+    searched = ranking.similar_chunks(asked, all_v.where("chunk_id < 1000"), 4)
+    assert "MapInArrow" in searched._jdf.queryExecution().toString()  # pairs are not taken one by one
+
+
 def test_abstention(spark):
     data = [("c", "I cannot answer this.", False, True), ("c", "It is 30.", False, True), ("c", "I cannot answer this.", True, True), ("c", "It is 60.", True, True)]
     data = [("c", "I cannot answer this.", False, True), ("c", "unable to answer", False, True), ("c", "I can't answer", True, True), ("c", "It is 60.", True, True), ("c", None, True, False)]
