@@ -19,15 +19,31 @@ Embedder = Callable[[Sequence[str]], np.ndarray]
 _WORD = re.compile(r"\w+")
 
 
+class _Places(dict):
+    """Where a word counts: its place among the `dims` added ones, or behind them among the taken ones. Words met are kept, up to a limit."""
+
+    def __init__(self, dims: int, limit: int = 500_000):
+        super().__init__()
+        self.dims, self.limit = dims, limit
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = zlib.crc32(word.encode())
+        self[word] = at = h % self.dims + (0 if h >> 31 else self.dims)
+        return at
+
+
 def hashed_words(dims: int = 64) -> Embedder:
     """Signed counts of hashed words."""
+    places = _Places(dims)
 
     def embed(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims), np.float32)
         for i, text in enumerate(texts):
-            for w in _WORD.findall(text.lower()):
-                h = zlib.crc32(w.encode())
-                out[i, h % dims] += 1.0 if h >> 31 else -1.0
+            words = _WORD.findall(text.lower())
+            counts = np.bincount(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), minlength=2 * dims)
+            out[i] = counts[:dims] - counts[dims:]
         return out
 
     return embed

@@ -67,10 +67,12 @@ def _scored(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     embed = hooks.embedding_udf()
     asked = pages.where("pmod(id, 20) = 0").groupBy("id").agg(F.first("document").alias("document"), F.first("page").alias("page"), F.min("text").alias("text"))
     asks = materialise(asked.select(F.col("id").alias("query_id"), "document", F.greatest("page", F.lit(1)).alias("page"), embed(F.substring_index("text", ".", 1)).alias("query_vec")))
+    rules = {"words": chunking.word_budget(), "tokens": chunking.token_budget(), "structure": chunking.structure_aware()}
+    built = chunking.chunk_strategies(_pages(spark, d), rules)
+    chunks = materialise(built.select("strategy", "document", "page_start", "page_end", "word_count", F.xxhash64("document", "chunk_index", "strategy").alias("chunk_id"), embed("text").alias("chunk_vec")))
     out = None
-    for name, rule in (("words", chunking.word_budget()), ("tokens", chunking.token_budget()), ("structure", chunking.structure_aware())):
-        c = chunking.chunk_documents(_pages(spark, d), rule).select("document", "page_start", "page_end", "text", "word_count", F.xxhash64("document", "chunk_index", F.lit(name)).alias("chunk_id"))
-        c = materialise(c.withColumn("chunk_vec", embed("text")))
+    for name in rules:
+        c = chunks.where(F.col("strategy") == name)
         spans = c.withColumn("page", F.explode(F.sequence("page_start", "page_end"))).select("chunk_id", "document", "page")
         good = asks.select("query_id", "document", "page").join(spans, ["document", "page"]).select("query_id", "chunk_id").distinct()
         ranked = ranking.similar_chunks(asks.select("query_id", "query_vec"), c.select("chunk_id", "chunk_vec"), k).join(good.withColumn("rel", F.lit(1)), ["query_id", "chunk_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tallyloom.operators import chunking as C
 
 
@@ -54,3 +56,21 @@ def test_words_beyond_the_budget_are_cut():
     assert C.split_words("ab " + "x" * 21 + " cd", by_two, 4) == ["ab", "xxxxxxxx", "xxxxxxxx", "xxxxx cd"]
     assert C.split_word("é", lambda s: 9, 4) == ["é"] and C.split_word("", by_two, 4) == [""]
     assert all(by_two(p) <= 4 for p in C.split_words("y" * 1001 + " z", by_two, 4))
+
+
+def test_strategies_share_one_parse(spark):
+    texts = ["GENERAL\n\n" + " ".join(f"Door {i} of flat {j} closes, but not fully." for i in range(80)) for j in range(3)] + ["a | b\n1 | 2\n" * 90, "- one\n- two", None]
+    pages = spark.createDataFrame([(f"d{n % 2}", n, t) for n, t in enumerate(texts)] + [(None, 1, "lost")], "document string, page int, text string")
+    rules = {"words": C.word_budget(30, 10), "tokens": C.token_budget(40, 9), "structure": C.structure_aware(40)}
+    got = C.chunk_strategies(pages, rules)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    for name, rule in rules.items():
+        want = C.chunk_documents(pages, rule)
+        assert got.where(F.col("strategy") == name).drop("strategy").exceptAll(want).isEmpty() and got.where(F.col("strategy") == name).count() == want.count() > 10
+
+
+def test_atoms_are_counted_once():
+    seen = []
+    rules = C.token_budget(40, 9, 2, lambda s: seen.append(s) or len(s.split()))
+    list(C.Packer(rules).run([C.Element("heading", "WATER", 1), C.Element("narrative", "One door is here. Two are there.", 1)]))
+    assert seen == ["WATER", "One door is here.", "Two are there."]
